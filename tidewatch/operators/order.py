@@ -23,6 +23,8 @@ MAX_BUCKETS = 4096
 OVERSAMPLE = 8
 # Tables of bucket bounds and bucket totals are broadcast only up to this many expected rows.
 BROADCAST_ROWS = 200_000
+# Stands in for the key of a table that is ordered as a whole.
+WHOLE = "_whole"
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,13 @@ class Sizes:
     keys: int
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The frame with a constant key when it has none, so that keyed code serves both."""
+    if keys:
+        return df, list(keys)
+    return df.withColumn(WHOLE, F.lit(0)), [WHOLE]
+
+
 def measure(df: DataFrame, keys: Sequence[str]) -> Sizes:
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     row = per_key.agg(
@@ -70,10 +79,8 @@ def add_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes:
         *keys, F.filter("_sorted", lambda _, i: i % every == every - 1).alias("_bounds")
     )
     bounds = _maybe_broadcast(bounds, sizes.keys)
-    joined = df.join(bounds, list(keys), "left") if keys else df.join(bounds)
-    return joined.withColumn(
-        "_bucket", F.coalesce(_search(F.col("_bounds"), key), F.lit(0))
-    ).drop("_bounds")
+    joined = df.join(bounds, list(keys), "left")
+    return joined.withColumn("_bucket", F.coalesce(_search(F.col("_bounds"), key), F.lit(0))).drop("_bounds")
 
 
 def running_totals(
@@ -91,6 +98,8 @@ def running_totals(
     with an id).
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
+    columns = df.columns
+    df, keys = keyed(df, keys)
     sizes = measure(df, keys)
     if sizes.largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -98,7 +107,7 @@ def running_totals(
         out = [F.sum(c).over(upto).alias(name) for name, c in sums.items()]
         if previous:
             out.append(F.lag(order[0]).over(w).alias(previous))
-        return df.select("*", *out)
+        return df.select(*columns, *out)
 
     bucketed = add_bucket(df, keys, order, sizes, rows_per_task)
     offsets = _bucket_offsets(bucketed, keys, order, sums)
@@ -112,7 +121,7 @@ def running_totals(
     ]
     if previous:
         out.append(F.coalesce(F.lag(order[0]).over(w), F.col("_last")).alias(previous))
-    return bucketed.join(offsets, group, "left").select(*[F.col(c) for c in df.columns], *out)
+    return bucketed.join(offsets, group, "left").select(*columns, *out)
 
 
 def _bucket_offsets(bucketed: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
@@ -152,6 +161,8 @@ def cut_rows(
     `_n` (rows of the key) and `_target`.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
+    wanted_keys = list(keys)
+    df, keys = keyed(df, keys)
     slim = df.select(*dict.fromkeys([*keys, *order])).withColumn("_one", F.lit(1).cast("long"))
     sizes = measure(slim, keys)
     counts = slim.groupBy(*keys).agg(F.sum("_one").alias("_n"))
@@ -164,17 +175,15 @@ def cut_rows(
         offsets = _bucket_offsets(bucketed, keys, order, {"rank": "_one"}).withColumn(
             "_before", F.coalesce("_before_rank", F.lit(0))
         )
-        wanted = offsets.join(goals, list(keys)) if keys else offsets.join(goals)
-        wanted = wanted.where(
+        wanted = offsets.join(goals, keys).where(
             (F.col("_target") > F.col("_before")) & (F.col("_target") <= F.col("_before") + F.col("_sum_rank"))
         ).select(*keys, "_bucket", "_before")
         w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
         ranked = bucketed.join(_maybe_broadcast(wanted, sizes.keys), [*keys, "_bucket"]).withColumn(
             "_rank", F.row_number().over(w) + F.col("_before")
         )
-    joined = ranked.join(goals, list(keys)) if keys else ranked.join(goals)
-    return joined.where(F.col("_rank") == F.col("_target")).select(
-        *keys, F.struct(*[F.col(c) for c in order]).alias("_cut"), "_n", "_target"
+    return ranked.join(goals, keys).where(F.col("_rank") == F.col("_target")).select(
+        *wanted_keys, F.struct(*[F.col(c) for c in order]).alias("_cut"), "_n", "_target"
     )
 
 
@@ -187,9 +196,10 @@ def quantiles(
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key from collapsed (value, count) rows."""
+    wanted_keys = list(keys)
+    counts, keys = keyed(counts, keys)
     w = running_totals(counts, keys, [value], {"_cum": count}, rows_per_task=rows_per_task)
-    totals = counts.groupBy(*keys).agg(F.sum(count).alias("_n"))
-    joined = w.join(totals, list(keys)) if keys else w.join(totals)
+    joined = w.join(counts.groupBy(*keys).agg(F.sum(count).alias("_n")), keys)
     aggs, out = [], []
     for name, p in probabilities.items():
         position = F.lit(float(p)) * (F.col("_n") - 1)
@@ -202,4 +212,4 @@ def quantiles(
         out.append(
             (F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * part).alias(name)
         )
-    return joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*keys, *out)
+    return joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*wanted_keys, *out)
