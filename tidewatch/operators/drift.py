@@ -29,6 +29,9 @@ Z_TEST = "z_test"
 WASSERSTEIN = "wasserstein"
 JENSEN_SHANNON = "jensen_shannon"
 
+# One value of one feature: numbers in `num`, everything else in `txt`.
+CELL = ["feature", "is_num", "num", "txt"]
+
 
 @dataclass(frozen=True)
 class DriftConfig:
@@ -73,7 +76,7 @@ def _long(df: DataFrame, features: Sequence[str], text: set[str], by: Sequence[s
     return df.select(*by, F.inline(F.array(*cells))).where(F.col("num").isNotNull() & F.col("txt").isNotNull())
 
 
-def _text_features(baseline: DataFrame, current: DataFrame, features: Sequence[str]) -> set[str]:
+def text_features(baseline: DataFrame, current: DataFrame, features: Sequence[str]) -> set[str]:
     return {c for c in features if _is_text(baseline, c) or _is_text(current, c)}
 
 
@@ -152,7 +155,7 @@ def compare(
     """Per (group and) feature: the test, its statistic and whether the feature drifted."""
     by = list(by)
     features = list(features or common_features(baseline, current, by))
-    text = _text_features(baseline, current, features)
+    text = text_features(baseline, current, features)
     keys = [*by, "feature"]
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     both = (
@@ -256,12 +259,32 @@ def compare_windows(
     """`compare` for every window (the values of `by`) of `current` against one baseline."""
     by = list(by)
     features = list(features or common_features(baseline, current, by))
-    text = _text_features(baseline, current, features)
-    cell = ["feature", "is_num", "num", "txt"]
-    keys = [*by, "feature"]
+    text = text_features(baseline, current, features)
+    cur = stage(_long(current, features, text, by).groupBy(*by, *CELL).agg(F.count(F.lit(1)).alias("o")), "windows")
+    return compare_window_counts(
+        baseline, cur, current.select(*by).distinct(), by, features, text, config, rows_per_task
+    )
+
+
+def window_counts(current: DataFrame, features: Sequence[str], text: set[str], by: Sequence[str | Column]) -> DataFrame:
+    """(window, feature, value) counts: the only aggregation a stream has to keep for `compare_window_counts`."""
+    names = [c for c in current.columns if c not in features]
+    return _long(current, features, text, names).groupBy(*by, *CELL).agg(F.count(F.lit(1)).alias("o"))
+
 
+def compare_window_counts(
+    baseline: DataFrame,
+    cur: DataFrame,
+    windows: DataFrame,
+    by: Sequence[str],
+    features: Sequence[str],
+    text: set[str],
+    config: DriftConfig = DriftConfig(),
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """`compare_windows` for current rows already collapsed to (window, feature, value, o) counts."""
+    cell, keys = CELL, [*by, "feature"]
     ref = stage(_long(baseline, features, text, []).groupBy(*cell).agg(F.count(F.lit(1)).alias("r")), "baseline")
-    cur = stage(_long(current, features, text, by).groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("o")), "windows")
 
     # Position of every value seen on either side within the baseline's distribution.
     seen = ref.unionByName(cur.select(*cell, F.lit(0).cast("long").alias("r")))
@@ -345,7 +368,7 @@ def compare_windows(
     listed = F.inline(
         F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(f not in text).alias("is_num")) for f in features])
     )
-    wanted = current.select(*by).distinct().select(*by, listed)
+    wanted = windows.select(*by, listed)
     full = wanted.join(scored, keys, "left").join(ref_profile.select("feature", "n_ref"), "feature", "left")
     full = full.fillna(0, subset=["n_ref", "n_cur", "n_values", "unexpected"])
     return _verdict(full, keys, config)
