@@ -190,8 +190,8 @@ def drift_by_segment(spark, sf):
 
 LOG_FEATURES = ["value", "k", "event_type"]
 _SMALL = f"""WITH {views.LOG_SQL},
-ref AS (SELECT value, k, event_type, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM log WHERE user_id < 12),
-cur AS (SELECT model_version, value, k, event_type, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM log WHERE user_id >= 12)"""
+ref AS (SELECT value, k, event_type, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM log WHERE day(created_at) = 1),
+cur AS (SELECT model_version, value, k, event_type, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM log WHERE day(created_at) > 1)"""
 _SMALL_FEATURES = ["value", "k", "event_type", "parity"]
 
 
@@ -199,10 +199,10 @@ _SMALL_FEATURES = ["value", "k", "event_type", "parity"]
     compare_sql(_SMALL, _SMALL_FEATURES, ["event_type", "parity"], by=["model_version"], replicate=True)
     + " SELECT * FROM tested"
 )
-def drift_versions_small_baseline(spark, sf):
-    """Versions against one small baseline: KS, chi-square and proportion tests by the automatic choice."""
+def drift_versions_first_day(spark, sf):
+    """Versions against the first day: KS, chi-square and proportion tests while that day is small."""
     log = views.log(spark, sf).withColumn("parity", F.when(F.col("k") % 2 == 0, "even").otherwise("odd"))
-    ref, cur = log.where("user_id < 12"), log.where("user_id >= 12")
+    ref, cur = log.where(F.dayofmonth("created_at") == 1), log.where(F.dayofmonth("created_at") > 1)
     return tidy(
         drift.compare_windows(ref.select(*_SMALL_FEATURES), cur, ["model_version"], _SMALL_FEATURES)
     )

@@ -106,11 +106,11 @@ def _verdict(df: DataFrame, keys: Sequence[str], config: DriftConfig) -> DataFra
     statistic = F.when(has_data, F.col("statistic"))
     test = F.col("test")
     p = (
-        F.when(test == KS, tails.ks_tail(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
+        F.when(test == KS, tails.ks_tail("statistic", "n_ref", "n_cur"))
         .when((test == CHI_SQUARE) & (F.col("unexpected") > 0), F.lit(0.0))
         .when((test == CHI_SQUARE) & (F.col("n_values") < 2), F.lit(1.0))
-        .when(test == CHI_SQUARE, tails.chi2_tail(F.col("statistic"), F.col("n_values") - 1))
-        .when(test == Z_TEST, tails.normal_two_sided(F.col("statistic")))
+        .when(test == CHI_SQUARE, tails.chi2_tail("statistic", "(n_values - 1)"))
+        .when(test == Z_TEST, tails.normal_two_sided("statistic"))
     )
     is_distance = test.isin(WASSERSTEIN, JENSEN_SHANNON)
     threshold = F.when(is_distance, F.lit(config.distance_threshold)).otherwise(F.lit(config.p_threshold))
@@ -187,6 +187,7 @@ def compare(
         {"cum_r": "r", "cum_o": "o"},
         previous="before",
         rows_per_task=rows_per_task,
+        sizes=order.known_sizes(profile.where(_is_ordered_test(F.col("test"))), "n_values"),
     )
     n, m = F.col("n_ref"), F.col("n_cur")
     gap = F.abs(F.col("cum_r") / n - F.col("cum_o") / m)
@@ -296,21 +297,16 @@ def compare_window_counts(
         {"cum_r": "r", "cum_s": "rv"},
         rows_per_task=rows_per_task,
     ).drop("rv")
-    lookup = placed.unionByName(seen.where("not is_num"), allowMissingColumns=True)
+    lookup = stage(placed.unionByName(seen.where("not is_num"), allowMissingColumns=True), "positions")
+    placed = lookup.where("is_num and r > 0")
+    ref_profile = _baseline_profile(ref)
 
-    ref_profile = ref.groupBy("feature").agg(
-        F.sum("r").alias("n_ref"),
-        F.count(F.lit(1)).alias("ref_values"),
-        F.try_divide(F.sum(F.col("r") * F.col("num")), F.sum("r")).alias("mean_ref"),
-    )
-    spread = ref.join(ref_profile, "feature").groupBy("feature").agg(
-        F.sqrt(F.sum(F.col("r") * F.pow(F.col("num") - F.col("mean_ref"), F.lit(2))) / F.first("n_ref")).alias("std_ref")
-    )
-    ref_profile = stage(ref_profile.join(spread, "feature"), "baseline-profile")
-
-    looked = stage(cur.join(lookup, cell), "looked")
+    # Numbers first: sorting for the join then compares by them and not by long equal prefixes.
+    looked = stage(cur.join(lookup, ["num", "txt", "feature", "is_num"]), "looked")
     profile = looked.groupBy(*keys, "is_num").agg(
-        F.sum("o").alias("n_cur"), F.sum((F.col("r") == 0).cast("long")).alias("new_values")
+        F.sum("o").alias("n_cur"),
+        F.count(F.lit(1)).alias("cur_values"),
+        F.sum((F.col("r") == 0).cast("long")).alias("new_values"),
     )
     profile = profile.join(ref_profile, "feature", "left").fillna(0, subset=["n_ref", "ref_values"])
     profile = profile.withColumn("n_values", F.col("ref_values") + F.col("new_values"))
@@ -324,7 +320,15 @@ def compare_window_counts(
     n, m, r, o = F.col("n_ref"), F.col("n_cur"), F.col("r"), F.col("o")
 
     ordered = order.running_totals(
-        tested.where(_is_ordered_test(F.col("test"))), keys, ["num"], {"cum_o": "o"}, rows_per_task=rows_per_task
+        tested.where(_is_ordered_test(F.col("test"))),
+        keys,
+        ["num"],
+        {"cum_o": "o"},
+        rows_per_task=rows_per_task,
+        sizes=order.known_sizes(profile.where(_is_ordered_test(F.col("test"))), "cur_values"),
+    )
+    ordered = stage(
+        ordered.select(*keys, "test", "n_ref", "n_cur", "num", "r", "o", "cum_r", "cum_s", "cum_o"), "ordered"
     )
     gap = F.abs(F.col("cum_r") / n - F.col("cum_o") / m)
     gap_before = F.abs((F.col("cum_r") - r) / n - (F.col("cum_o") - o) / m)
@@ -333,7 +337,7 @@ def compare_window_counts(
         F.max(F.greatest(gap, gap_before)).alias("statistic"), zero
     )
     distance = _window_wasserstein(
-        ordered.where(F.col("test") == WASSERSTEIN), placed.where("r > 0"), ref_profile, keys, rows_per_task
+        ordered.where(F.col("test") == WASSERSTEIN), placed, ref_profile, keys, rows_per_task
     ).withColumn("unexpected", F.lit(0).cast("long"))
 
     # Baseline categories missing from a window contribute through totals, so they need no rows.
@@ -374,6 +378,25 @@ def compare_window_counts(
     return _verdict(full, keys, config)
 
 
+def _baseline_profile(ref: DataFrame) -> DataFrame:
+    """Size, number of values, mean and deviation of each baseline feature.
+
+    One row per feature, so it passes through the driver and later joins need no shuffle.
+    """
+    shape = ref.groupBy("feature").agg(
+        F.sum("r").alias("n_ref"),
+        F.count(F.lit(1)).alias("ref_values"),
+        F.try_divide(F.sum(F.col("r") * F.col("num")), F.sum("r")).alias("mean_ref"),
+    )
+    spark = ref.sparkSession
+    shape = spark.createDataFrame(shape.toArrow(), shape.schema)
+    spread = ref.join(F.broadcast(shape), "feature").groupBy("feature").agg(
+        F.sqrt(F.sum(F.col("r") * F.pow(F.col("num") - F.col("mean_ref"), F.lit(2))) / F.first("n_ref")).alias("std_ref")
+    )
+    spread = spark.createDataFrame(spread.toArrow(), spread.schema)
+    return F.broadcast(shape.join(F.broadcast(spread), "feature"))
+
+
 def _window_wasserstein(
     ordered: DataFrame, placed: DataFrame, ref_profile: DataFrame, keys: Sequence[str], rows_per_task: int | None
 ) -> DataFrame:

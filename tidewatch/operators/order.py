@@ -18,8 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A key up to this size is ordered by one task; a larger one is cut into buckets of a tenth of it.
 ROWS_PER_TASK = 1_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 8192
 OVERSAMPLE = 8
 # Tables of bucket bounds and bucket totals are broadcast only up to this many expected rows.
 BROADCAST_ROWS = 200_000
@@ -44,43 +45,40 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def measure(df: DataFrame, keys: Sequence[str]) -> Sizes:
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return known_sizes(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n")
+
+
+def known_sizes(per_key: DataFrame, rows: str) -> Sizes:
+    """Sizes from a table that already holds the row count of each key."""
     row = per_key.agg(
-        F.max("_n").alias("largest"), F.sum("_n").alias("total"), F.count(F.lit(1)).alias("keys")
+        F.max(rows).alias("largest"), F.sum(rows).alias("total"), F.count(F.lit(1)).alias("keys")
     ).first()
     return Sizes(row["largest"] or 0, row["total"] or 0, row["keys"] or 0)
 
 
-def _search(bounds: Column, key: Column) -> Column:
-    """How many sorted `bounds` lie below `key`, by bisection (13 probes cover MAX_BUCKETS)."""
-    steps = F.array(*[F.lit(1 << i) for i in range(13, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(
-            (pos + step <= F.size(bounds)) & (F.get(bounds, pos + step - 1) < key), pos + step
-        ).otherwise(pos),
-    )
-
-
 def _maybe_broadcast(df: DataFrame, expected_rows: float) -> DataFrame:
     return F.broadcast(df) if expected_rows <= BROADCAST_ROWS else df
 
 
 def add_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: Sizes, rows_per_task: int) -> DataFrame:
     """Add `_bucket`, increasing with the order columns inside each key."""
-    rows = max(rows_per_task, -(-sizes.largest // MAX_BUCKETS))
+    rows = max(1, rows_per_task // 10, -(-sizes.largest // MAX_BUCKETS))
     modulus = max(1, rows // OVERSAMPLE)
     every = OVERSAMPLE if rows >= OVERSAMPLE else max(1, rows)
-    key = F.struct(*[F.col(c) for c in order])
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     chosen = df.where(F.pmod(F.xxhash64(*order), F.lit(modulus)) == 0)
     bounds = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(key)).alias("_sorted"))
     bounds = bounds.select(
         *keys, F.filter("_sorted", lambda _, i: i % every == every - 1).alias("_bounds")
     )
-    bounds = _maybe_broadcast(bounds, sizes.keys)
-    joined = df.join(bounds, list(keys), "left")
-    return joined.withColumn("_bucket", F.coalesce(_search(F.col("_bounds"), key), F.lit(0))).drop("_bounds")
+    found = df.join(_maybe_broadcast(bounds, sizes.keys), list(keys), "left").withColumn("_bucket", F.lit(0))
+    # Bisection, one projection per probe, so that it stays in generated code. Bounds beyond the last
+    # probe only make the last bucket larger.
+    probes = (2 * sizes.largest // rows + 2).bit_length()
+    for step in (1 << i for i in range(probes - 1, -1, -1)):
+        below = F.get("_bounds", F.col("_bucket") + (step - 1)) < key
+        found = found.withColumn("_bucket", F.col("_bucket") + F.when(below, step).otherwise(0))
+    return found.drop("_bounds")
 
 
 def running_totals(
@@ -90,17 +88,18 @@ def running_totals(
     sums: dict[str, str],
     previous: str | None = None,
     rows_per_task: int | None = None,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key in the given order.
 
     `sums` maps output names to columns. `previous` names an output holding the first order column
     of the row before. The order columns must be unique within a key (collapse ties first, or end
-    with an id).
+    with an id). `sizes` saves the counting when the caller already knows them.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
     columns = df.columns
     df, keys = keyed(df, keys)
-    sizes = measure(df, keys)
+    sizes = sizes or measure(df, keys)
     if sizes.largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,8 +110,9 @@ def running_totals(
 
     bucketed = add_bucket(df, keys, order, sizes, rows_per_task)
     offsets = _bucket_offsets(bucketed, keys, order, sums)
-    offsets = _maybe_broadcast(offsets, sizes.keys + sizes.total / rows_per_task * 2)
-    group = [*keys, "_bucket"]
+    offsets = _maybe_broadcast(offsets, sizes.keys + sizes.total / rows_per_task * 20)
+    # The bucket leads, so that sorting can tell most rows apart by its first column.
+    group = ["_bucket", *keys]
     w = Window.partitionBy(*group).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [
@@ -178,7 +178,7 @@ def cut_rows(
         wanted = offsets.join(goals, keys).where(
             (F.col("_target") > F.col("_before")) & (F.col("_target") <= F.col("_before") + F.col("_sum_rank"))
         ).select(*keys, "_bucket", "_before")
-        w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+        w = Window.partitionBy("_bucket", *keys).orderBy(*order)
         ranked = bucketed.join(_maybe_broadcast(wanted, sizes.keys), [*keys, "_bucket"]).withColumn(
             "_rank", F.row_number().over(w) + F.col("_before")
         )

@@ -48,8 +48,6 @@ def train(
         featuresCol=VECTOR,
         labelCol="_label",
         weightCol="_weight",
-        rawPredictionCol="raw_prediction",
-        probabilityCol="class_probability",
         predictionCol="class_prediction",
         maxIter=params.rounds,
         maxDepth=params.depth,
@@ -59,6 +57,7 @@ def train(
         validationTol=params.tolerance,
         seed=params.seed,
     )
+    booster = booster.setRawPredictionCol("raw_prediction").setProbabilityCol("class_probability")
     if validation:
         booster = booster.setValidationIndicatorCol(validation)
     y = F.col(target).cast("double")
