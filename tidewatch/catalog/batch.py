@@ -213,6 +213,15 @@ def attach_labels(spark, sf):
     return tidy(labels.attach_labels(views.customer_log(spark, sf), views.sent_labels(spark, sf), ["received_at", "seq"]))
 
 
+@QUERIES.add(
+    "WITH "
+    + CUSTOMER_SQL
+    + """ SELECT request_id, arg_max(actual_label, (received_at, seq)) AS actual_label, max(received_at) AS label_received_at FROM sent GROUP BY 1"""
+)
+def latest_label_per_request(spark, sf):
+    return tidy(labels.latest_labels(views.sent_labels(spark, sf), ["received_at", "seq"]))
+
+
 @QUERIES.add(
     "WITH "
     + CUSTOMER_SQL

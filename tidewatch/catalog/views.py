@@ -19,9 +19,14 @@ CUT_DATE = "1998-06-01"
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table, with zoneless times read as UTC instants."""
+def table(spark: SparkSession, sf: str, name: str, where: str | None = None) -> DataFrame:
+    """A given table, with zoneless times read as UTC instants.
+
+    `where` applies to the columns as stored, so that it reaches the Parquet scan.
+    """
     df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    if where:
+        df = df.where(where)
     times = {
         f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)
     }
@@ -107,11 +112,11 @@ sent AS (
 
 
 def line_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.lit(CUT_DATE).cast("timestamp"))
+    return table(spark, sf, "lineitem", f"l_shipdate < timestamp_ntz'{CUT_DATE}'")
 
 
 def line_current(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where(F.col("l_shipdate") >= F.lit(CUT_DATE).cast("timestamp"))
+    return table(spark, sf, "lineitem", f"l_shipdate >= timestamp_ntz'{CUT_DATE}'")
 
 
 LINE_SQL = f"""ref AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT_DATE}'),

@@ -8,7 +8,7 @@ per key, and each bucket is then replayed from its known entry state.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ def _follow(times: np.ndarray, allowed_from: int, cooldown: int) -> np.ndarray:
     at = int(np.searchsorted(times, allowed_from, side="left"))
     while at < len(times):
         fired[at] = True
-        at = int(np.searchsorted(times, times[at] + max(cooldown, 1), side="left")) if cooldown > 0 else at + 1
+        at = int(np.searchsorted(times, times[at] + cooldown, side="left"))
     return fired
 
 
@@ -71,15 +71,31 @@ def fire(
         bucketed = order.add_bucket(rows, by, ["_t"], sizes, rows_per_task)
         bucketed = bucketed.join(_entries(bucketed, by, cooldown), [*by, "_bucket"])
 
-    kept = [*columns, *[c for c in by if c not in columns]]
+    group = [*by, "_bucket"]
+    sorted_rows = (
+        bucketed.withColumn("_group", F.xxhash64(*group))
+        .repartition(*group)
+        .sortWithinPartitions(*group, "_t", tie)
+        .select(*columns, "_t", "_group", "_entry")
+    )
     schema = T.StructType([*breaches.schema.fields, T.StructField("fired", T.BooleanType())])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", tie], kind="stable")
-        pdf["fired"] = _follow(pdf["_t"].to_numpy(), int(pdf["_entry"].iloc[0]), cooldown)
-        return pdf[[*columns, "fired"]]
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by group and time; only the state of the last group is carried over.
+        open_group, state = None, _START
+        for pdf in batches:
+            groups, times, entries = (pdf[c].to_numpy() for c in ("_group", "_t", "_entry"))
+            starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(pdf) else []
+            fired = np.zeros(len(pdf), dtype=bool)
+            for low, high in zip(starts, np.append(starts[1:], len(pdf)).astype(int)):
+                if groups[low] != open_group:
+                    open_group, state = groups[low], entries[low]
+                fired[low:high] = _follow(times[low:high], int(state), cooldown)
+                if fired[low:high].any():
+                    state = times[low:high][fired[low:high]][-1] + cooldown
+            yield pdf[columns].assign(fired=fired)
 
-    return bucketed.select(*kept, "_t", "_bucket", "_entry").groupBy(*by, "_bucket").applyInPandas(replay, schema)
+    return sorted_rows.mapInPandas(replay, schema)
 
 
 def _entries(bucketed: DataFrame, by: Sequence[str], cooldown: int) -> DataFrame:
@@ -95,10 +111,11 @@ def _entries(bucketed: DataFrame, by: Sequence[str], cooldown: int) -> DataFrame
     )
 
     def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        latest, leave = _exits(np.sort(pdf["_t"].unique()), cooldown)
+        latest, leave = _exits(np.sort(pdf["_t"].to_numpy()), cooldown)
         return pd.DataFrame([[*key, latest.tolist(), leave.tolist()]], columns=[f.name for f in exit_schema])
 
-    tables = bucketed.select(*by, "_bucket", "_t").groupBy(*by, "_bucket").applyInPandas(exits, exit_schema)
+    # Equal times are one state, so they collapse before a bucket is handed over.
+    tables = bucketed.select(*by, "_bucket", "_t").distinct().groupBy(*by, "_bucket").applyInPandas(exits, exit_schema)
     entry_schema = T.StructType(
         [*key_fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_entry", T.LongType())]
     )

@@ -29,6 +29,8 @@ Z_TEST = "z_test"
 WASSERSTEIN = "wasserstein"
 JENSEN_SHANNON = "jensen_shannon"
 
+# Baseline values per slice of the quantile function.
+SLICE_ROWS = 2000
 # One value of one feature: numbers in `num`, everything else in `txt`.
 CELL = ["feature", "is_num", "num", "txt"]
 
@@ -429,7 +431,7 @@ def _window_wasserstein(
     heights = _quantile_integral(placed, ref_profile, terms.select("feature", "level").distinct(), rows_per_task)
     scale = F.greatest(F.col("std_ref"), F.lit(0.001))
     return (
-        terms.join(heights, ["feature", "level"])
+        terms.join(heights, ["level", "feature"])
         .groupBy(*keys)
         .agg(F.sum(F.col("constant") + F.col("weight") * F.col("height")).alias("area"))
         .join(ref_profile.select("feature", "std_ref"), "feature")
@@ -444,7 +446,8 @@ def _quantile_integral(placed: DataFrame, ref_profile: DataFrame, levels: DataFr
     each slice answers its levels alone.
     """
     sizes = order.measure(placed, ["feature"])
-    slices = max(1, min(order.MAX_BUCKETS, -(-sizes.largest // (rows_per_task or order.ROWS_PER_TASK))))
+    # Slices cost nothing to assign, and narrow ones sort faster than wide ones.
+    slices = max(1, min(order.MAX_BUCKETS, sizes.largest // min(rows_per_task or SLICE_ROWS, SLICE_ROWS)))
 
     def slice_of(level: Column) -> Column:
         return F.least(F.floor(level * slices), F.lit(slices - 1)).cast("int")
@@ -464,7 +467,7 @@ def _quantile_integral(placed: DataFrame, ref_profile: DataFrame, levels: DataFr
     merged = steps.unionByName(asked, allowMissingColumns=True)
     # Descending, baseline first on ties: the last step seen is the lowest one reaching the level.
     w = (
-        Window.partitionBy("feature", "slice")
+        Window.partitionBy("slice", "feature")
         .orderBy(F.col("level").desc(), F.col("step").isNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

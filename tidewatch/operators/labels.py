@@ -46,10 +46,12 @@ def label_result(log: DataFrame, labels: DataFrame, key: str = "request_id") ->
     """updated / correct / incorrect / unknown, counted per label sent, before re-sent ones collapse.
 
     Both sides are aggregated first: labels to (request, label, times sent), the log to one
-    prediction per request, so one request labelled very often is one row in the join.
+    prediction per request, so one request labelled very often is one row in the join. Only the rows
+    a label names are aggregated: for a small batch that is a scan of the log without a shuffle.
     """
     sent = labels.groupBy(key, "actual_label").agg(F.count(F.lit(1)).alias("sent"))
-    predicted = log.groupBy(key).agg(F.max("prediction").alias("prediction"))
+    named = labelled_log(log.select(key, "prediction"), sent.select(key), key)
+    predicted = named.groupBy(key).agg(F.max("prediction").alias("prediction"))
     joined = sent.join(predicted, key, "left")
     known = F.col("prediction").isNotNull()
     right = F.col("prediction") == F.col("actual_label")

@@ -18,11 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import stage
+
 # A key up to this size is ordered by one task; a larger one is cut into buckets of a tenth of it.
 ROWS_PER_TASK = 1_000_000
 MAX_BUCKETS = 8192
 OVERSAMPLE = 8
-# Tables of bucket bounds and bucket totals are broadcast only up to this many expected rows.
+# Bucket bounds and bucket totals are broadcast only up to this many expected values.
 BROADCAST_ROWS = 200_000
 # Stands in for the key of a table that is ordered as a whole.
 WHOLE = "_whole"
@@ -67,11 +69,11 @@ def add_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes:
     every = OVERSAMPLE if rows >= OVERSAMPLE else max(1, rows)
     key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     chosen = df.where(F.pmod(F.xxhash64(*order), F.lit(modulus)) == 0)
-    bounds = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(key)).alias("_sorted"))
+    bounds = chosen.groupBy(*keys).agg(F.sort_array(F.collect_set(key)).alias("_sorted"))
     bounds = bounds.select(
         *keys, F.filter("_sorted", lambda _, i: i % every == every - 1).alias("_bounds")
     )
-    found = df.join(_maybe_broadcast(bounds, sizes.keys), list(keys), "left").withColumn("_bucket", F.lit(0))
+    found = df.join(_maybe_broadcast(bounds, sizes.keys + sizes.total / rows), list(keys), "left").withColumn("_bucket", F.lit(0))
     # Bisection, one projection per probe, so that it stays in generated code. Bounds beyond the last
     # probe only make the last bucket larger.
     probes = (2 * sizes.largest // rows + 2).bit_length()
@@ -141,10 +143,17 @@ def _bucket_offsets(bucketed: DataFrame, keys: Sequence[str], order: Sequence[st
     )
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_task: int | None = None) -> DataFrame:
+def rank_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    rows_per_task: int | None = None,
+    sizes: Sizes | None = None,
+) -> DataFrame:
     """Add an exact 1-based rank per key; the order must end with a unique id."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(one, keys, order, {name: "_one"}, rows_per_task=rows_per_task).drop("_one")
+    return running_totals(one, keys, order, {name: "_one"}, rows_per_task=rows_per_task, sizes=sizes).drop("_one")
 
 
 def cut_rows(
@@ -164,8 +173,8 @@ def cut_rows(
     wanted_keys = list(keys)
     df, keys = keyed(df, keys)
     slim = df.select(*dict.fromkeys([*keys, *order])).withColumn("_one", F.lit(1).cast("long"))
-    sizes = measure(slim, keys)
-    counts = slim.groupBy(*keys).agg(F.sum("_one").alias("_n"))
+    counts = stage(slim.groupBy(*keys).agg(F.sum("_one").alias("_n")), "key-sizes")
+    sizes = known_sizes(counts, "_n")
     goals = _maybe_broadcast(counts.select(*keys, "_n", target(F.col("_n")).cast("long").alias("_target")), sizes.keys)
     if sizes.largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order)

@@ -97,7 +97,8 @@ def count_windows(
     columns = log.columns
     log, by = order.keyed(log, by)
     totals = stage(log.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "stream-sizes")
-    joined = order.rank_rows(log, by, order_by, "_rank", rows_per_task).join(totals, by)
+    sizes = order.known_sizes(totals, "_n")
+    joined = order.rank_rows(log, by, order_by, "_rank", rows_per_task, sizes).join(totals, by)
     window_id = F.floor((F.col("_rank") - 1) / window_size)
     rows_in_window = F.least(F.lit(window_size), F.col("_n") - window_id * window_size)
     return joined.select(

@@ -61,9 +61,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def application_dir(spark: SparkSession) -> str:
+    """Where this application writes below the shared folder."""
+    return f"{shared_dir(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_staged(spark: SparkSession) -> bool:
+    """Delete what this application staged. Only once no frame built on it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
