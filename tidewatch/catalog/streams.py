@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry, r, tidy, views
-from tidewatch.catalog.batch import _LE, n, quantile_sql
+from tidewatch.catalog.batch import _LE, in_milliseconds, n, quantile_sql
 from tidewatch.catalog.drift import compare_sql
 from tidewatch.catalog.views import LOG_SQL
 from tidewatch.operators import metrics, rollups, validate
@@ -60,10 +60,10 @@ def stream_errors(spark, sf):
 
 @QUERIES.add(
     f"""WITH {LOG_SQL}, h AS (SELECT {_WINDOW} AS window_start, {_LE} AS le, {n()} AS n, avg(latency) AS mean FROM log WHERE {_CLOSED} GROUP BY 1)
-SELECT window_start, n, {r('mean')}, {r(quantile_sql(rollups.LATENCY_BOUNDS, 0.95), 'p95')} FROM h"""
+SELECT window_start, n, {r('mean * 1000', 'mean_ms')}, {r(quantile_sql(rollups.LATENCY_BOUNDS, 0.95), 'p95')} FROM h"""
 )
 def stream_latency(spark, sf):
-    return tidy(run.drain(stream_rollups.latency(log_stream(spark, sf)), "stream-latency"))
+    return in_milliseconds(run.drain(stream_rollups.latency(log_stream(spark, sf)), "stream-latency"))
 
 
 EVENT_RULES = [
