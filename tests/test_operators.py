@@ -217,6 +217,20 @@ def test_cooldown_chain(spark, rows_per_task, seconds):
     assert [r["fired"] for r in out] == fire_brute(times, seconds)
 
 
+@pytest.mark.parametrize("rows_per_task", [3, None])
+def test_cooldown_many_keys_and_one_hot_time(spark, rows_per_task):
+    """A third of all rows share one time, and a key may be null."""
+    hot = [("hot", T0, i) for i in range(40)] + [("hot", T0 + dt.timedelta(hours=i), 100 + i) for i in range(1, 20)]
+    cold = [(f"k{i % 7}" if i % 7 else None, T0 + dt.timedelta(minutes=31 * i), 1000 + i) for i in range(60)]
+    df = spark.createDataFrame(hot + cold, "k string, t timestamp, i int")
+    out = cooldown.fire(df, "t", "i", 7200, ["k"], rows_per_task) if rows_per_task is None else cooldown.fire(
+        df.where("k is not null"), "t", "i", 7200, ["k"], rows_per_task
+    )
+    pdf = out.toPandas().sort_values(["t", "i"])
+    for _, part in pdf.groupby("k", dropna=False):
+        assert part.fired.tolist() == fire_brute(list(part.t), 7200)
+
+
 def test_cooldown_boundary(spark):
     rows = [(T0, 0), (T0 + dt.timedelta(seconds=3599), 1), (T0 + dt.timedelta(seconds=3600), 2)]
     df = spark.createDataFrame(rows, "t timestamp, i int")
