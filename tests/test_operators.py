@@ -164,6 +164,17 @@ def test_time_split(spark, n, fraction, expected, rows_per_task):
     assert tuple(train.iloc[-1][["ts", "id"]]) < tuple(held.iloc[0][["ts", "id"]])
 
 
+@pytest.mark.parametrize("rows_per_task", [13, None])
+def test_groups_without_a_name_keep_their_rows(spark, rows_per_task):
+    df = spark.range(120).select("id", F.when(F.col("id") % 3 > 0, "a").alias("k"))
+    out = split.time_split(df, ["id"], 0.25, 10, ["k"], rows_per_task)
+    counts = {(r["k"], r["part"]): r["count"] for r in out.groupBy("k", "part").count().collect()}
+    assert counts == {(None, "train"): 30, (None, "evaluation"): 10, ("a", "train"): 60, ("a", "evaluation"): 20}
+    windows = split.count_windows(df, ["id"], 30, 10, ["k"], rows_per_task)
+    got = {(r["k"], r["window_id"]): r["count"] for r in windows.groupBy("k", "window_id").count().collect()}
+    assert got == {(None, 0): 30, (None, 1): 10, ("a", 0): 30, ("a", 1): 30, ("a", 2): 20}
+
+
 def test_time_split_holds_out_at_least_one(spark):
     out = split.time_split(spark.range(3), ["id"], 0.01, 1).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in out} == {"train": 2, "evaluation": 1}
@@ -223,10 +234,8 @@ def test_cooldown_many_keys_and_one_hot_time(spark, rows_per_task):
     hot = [("hot", T0, i) for i in range(40)] + [("hot", T0 + dt.timedelta(hours=i), 100 + i) for i in range(1, 20)]
     cold = [(f"k{i % 7}" if i % 7 else None, T0 + dt.timedelta(minutes=31 * i), 1000 + i) for i in range(60)]
     df = spark.createDataFrame(hot + cold, "k string, t timestamp, i int")
-    out = cooldown.fire(df, "t", "i", 7200, ["k"], rows_per_task) if rows_per_task is None else cooldown.fire(
-        df.where("k is not null"), "t", "i", 7200, ["k"], rows_per_task
-    )
-    pdf = out.toPandas().sort_values(["t", "i"])
+    pdf = cooldown.fire(df, "t", "i", 7200, ["k"], rows_per_task).toPandas().sort_values(["t", "i"])
+    assert len(pdf) == 119
     for _, part in pdf.groupby("k", dropna=False):
         assert part.fired.tolist() == fire_brute(list(part.t), 7200)
 

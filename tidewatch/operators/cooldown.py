@@ -69,7 +69,7 @@ def fire(
         bucketed = rows.withColumn("_bucket", F.lit(0)).withColumn("_entry", F.lit(_START).cast("long"))
     else:
         bucketed = order.add_bucket(rows, by, ["_t"], sizes, rows_per_task)
-        bucketed = bucketed.join(_entries(bucketed, by, cooldown), [*by, "_bucket"])
+        bucketed = order.join_on(bucketed, _entries(bucketed, by, cooldown), [*by, "_bucket"])
 
     group = [*by, "_bucket"]
     sorted_rows = (

@@ -180,7 +180,7 @@ def compare(
         ),
         "profile",
     )
-    tested = counts.drop("is_num").join(profile.where("n_ref > 0 and n_cur > 0"), keys)
+    tested = order.join_on(counts.drop("is_num"), profile.where("n_ref > 0 and n_cur > 0"), keys)
 
     ordered = order.running_totals(
         tested.where(_is_ordered_test(F.col("test"))),
@@ -230,7 +230,7 @@ def compare(
         .alias("statistic"),
         "unexpected",
     )
-    scored = profile.join(numeric.unionByName(categorical), keys, "left")
+    scored = order.join_on(profile, numeric.unionByName(categorical), keys, "left")
     return _verdict(_with_silent_features(scored, baseline, current, features, text, by), keys, config)
 
 
@@ -246,7 +246,7 @@ def _with_silent_features(
         wanted = groups.select(*by, listed)
     else:
         wanted = current.sparkSession.range(1).select(listed)
-    return wanted.join(scored.drop("is_num"), [*by, "feature"], "left").fillna(
+    return order.join_on(wanted, scored.drop("is_num"), [*by, "feature"], "left").fillna(
         0, subset=["n_ref", "n_cur", "n_values", "unexpected"]
     )
 
@@ -318,7 +318,7 @@ def compare_window_counts(
         ),
         "window-profile",
     )
-    tested = looked.drop("is_num").join(profile.where("n_ref > 0"), keys)
+    tested = order.join_on(looked.drop("is_num"), profile.where("n_ref > 0"), keys)
     n, m, r, o = F.col("n_ref"), F.col("n_cur"), F.col("r"), F.col("o")
 
     ordered = order.running_totals(
@@ -369,13 +369,13 @@ def compare_window_counts(
         "unexpected",
     )
     stats = ks.unionByName(distance).unionByName(categorical)
-    scored = profile.join(stats, keys, "left").drop("is_num", "n_ref")
+    scored = order.join_on(profile, stats, keys, "left").drop("is_num", "n_ref")
 
     listed = F.inline(
         F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(f not in text).alias("is_num")) for f in features])
     )
     wanted = windows.select(*by, listed)
-    full = wanted.join(scored, keys, "left").join(ref_profile.select("feature", "n_ref"), "feature", "left")
+    full = order.join_on(wanted, scored, keys, "left").join(ref_profile.select("feature", "n_ref"), "feature", "left")
     full = full.fillna(0, subset=["n_ref", "n_cur", "n_values", "unexpected"])
     return _verdict(full, keys, config)
 

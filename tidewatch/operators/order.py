@@ -58,6 +58,15 @@ def known_sizes(per_key: DataFrame, rows: str) -> Sizes:
     return Sizes(row["largest"] or 0, row["total"] or 0, row["keys"] or 0)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null: a null key is a group of its own and must not lose its rows."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _maybe_broadcast(df: DataFrame, expected_rows: float) -> DataFrame:
     return F.broadcast(df) if expected_rows <= BROADCAST_ROWS else df
 
@@ -73,7 +82,8 @@ def add_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes:
     bounds = bounds.select(
         *keys, F.filter("_sorted", lambda _, i: i % every == every - 1).alias("_bounds")
     )
-    found = df.join(_maybe_broadcast(bounds, sizes.keys + sizes.total / rows), list(keys), "left").withColumn("_bucket", F.lit(0))
+    bounds = _maybe_broadcast(bounds, sizes.keys + sizes.total / rows)
+    found = join_on(df, bounds, keys, "left").withColumn("_bucket", F.lit(0))
     # Bisection, one projection per probe, so that it stays in generated code. Bounds beyond the last
     # probe only make the last bucket larger.
     probes = (2 * sizes.largest // rows + 2).bit_length()
@@ -123,7 +133,7 @@ def running_totals(
     ]
     if previous:
         out.append(F.coalesce(F.lag(order[0]).over(w), F.col("_last")).alias(previous))
-    return bucketed.join(offsets, group, "left").select(*columns, *out)
+    return join_on(bucketed, offsets, group, "left").select(*columns, *out)
 
 
 def _bucket_offsets(bucketed: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
@@ -184,14 +194,14 @@ def cut_rows(
         offsets = _bucket_offsets(bucketed, keys, order, {"rank": "_one"}).withColumn(
             "_before", F.coalesce("_before_rank", F.lit(0))
         )
-        wanted = offsets.join(goals, keys).where(
+        wanted = join_on(offsets, goals, keys).where(
             (F.col("_target") > F.col("_before")) & (F.col("_target") <= F.col("_before") + F.col("_sum_rank"))
         ).select(*keys, "_bucket", "_before")
         w = Window.partitionBy("_bucket", *keys).orderBy(*order)
-        ranked = bucketed.join(_maybe_broadcast(wanted, sizes.keys), [*keys, "_bucket"]).withColumn(
+        ranked = join_on(bucketed, _maybe_broadcast(wanted, sizes.keys), [*keys, "_bucket"]).withColumn(
             "_rank", F.row_number().over(w) + F.col("_before")
         )
-    return ranked.join(goals, keys).where(F.col("_rank") == F.col("_target")).select(
+    return join_on(ranked, goals, keys).where(F.col("_rank") == F.col("_target")).select(
         *wanted_keys, F.struct(*[F.col(c) for c in order]).alias("_cut"), "_n", "_target"
     )
 
@@ -208,7 +218,7 @@ def quantiles(
     wanted_keys = list(keys)
     counts, keys = keyed(counts, keys)
     w = running_totals(counts, keys, [value], {"_cum": count}, rows_per_task=rows_per_task)
-    joined = w.join(counts.groupBy(*keys).agg(F.sum(count).alias("_n")), keys)
+    joined = join_on(w, counts.groupBy(*keys).agg(F.sum(count).alias("_n")), keys)
     aggs, out = [], []
     for name, p in probabilities.items():
         position = F.lit(float(p)) * (F.col("_n") - 1)

@@ -35,7 +35,7 @@ def time_split(
     # Written once, one row per group: the join can then be chosen by the true size.
     cuts = stage(order.cut_rows(rows, by, order_by, last_train, rows_per_task), "cuts")
     held = F.greatest(F.bround(F.col("_n") * fraction, 0), F.lit(1))
-    joined = rows.join(cuts, by)
+    joined = order.join_on(rows, cuts, by)
     newer = F.struct(*[F.col(c) for c in order_by]) > F.col("_cut")
     part = F.when(newer | (held >= F.col("_n")), "evaluation").otherwise("train")
     return joined.select(*columns, part.alias("part"))
@@ -98,7 +98,7 @@ def count_windows(
     log, by = order.keyed(log, by)
     totals = stage(log.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "stream-sizes")
     sizes = order.known_sizes(totals, "_n")
-    joined = order.rank_rows(log, by, order_by, "_rank", rows_per_task, sizes).join(totals, by)
+    joined = order.join_on(order.rank_rows(log, by, order_by, "_rank", rows_per_task, sizes), totals, by)
     window_id = F.floor((F.col("_rank") - 1) / window_size)
     rows_in_window = F.least(F.lit(window_size), F.col("_n") - window_id * window_size)
     return joined.select(

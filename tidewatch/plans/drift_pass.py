@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import cooldown, drift, split
+from tidewatch.operators import cooldown, drift, order, split
 from tidewatch.operators.drift import DriftConfig
 from tidewatch.operators.scenarios import Edit, apply_edits
 from tidewatch.session import stage
@@ -91,7 +91,7 @@ def drift_pass(
     )
     tested = stage(tested, "drift-features")
     summary = drift.summarise(tested, keys, config.tests).drop("critical_drifted", "no_data_columns")
-    joined = windows.join(summary, keys, "left").fillna(False, subset=["dataset_drift"])
+    joined = order.join_on(windows, summary, keys, "left").fillna(False, subset=["dataset_drift"])
     decided = joined.withColumn(
         "outcome",
         F.when(~F.col("complete"), INSUFFICIENT_SAMPLES)
@@ -102,7 +102,7 @@ def drift_pass(
     decided = stage(decided, "drift-windows")
     breaches = decided.where("dataset_drift").select(*keys, "window_end")
     fired = cooldown.fire(breaches, "window_end", "window_id", config.cooldown_seconds, by, rows_per_task)
-    decided = decided.join(fired.drop("window_end"), keys, "left").fillna(False, subset=["fired"])
+    decided = order.join_on(decided, fired.drop("window_end"), keys, "left").fillna(False, subset=["fired"])
     return PassResult(_finish(decided, keys, config), tested)
 
 
