@@ -32,7 +32,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def row_hash(name: str = "text") -> Column:
     """Tells rows of one (possibly repeated or null) doc_id apart by their text."""
-    return F.xxhash64(text_or_empty(name), F.col("doc_id").isNull())
+    return F.xxhash64(text_or_empty(name), F.col(name.replace("text", "doc_id")).isNull())
 
 
 def name_in_order(distinct: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -67,12 +67,17 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Every row as one column `doc`, so that its columns can't clash with those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of `docs` whose (doc_id, row hash) is in `kept`, once each, with their own columns.
 
     `kept` has the columns doc_id and _h, without repeats. Columns of `docs` may have any names.
     """
-    keys = kept.select(F.col("doc_id").alias("_keep_id"), F.col("_h").alias("_keep_h"))
-    hashed = docs.withColumn("_row_hash", row_hash())
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_hash") == F.col("_keep_h"))
-    return hashed.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_row_hash"]).drop("_row_hash")
+    keys = kept.select(F.col("doc_id").alias("keep_id"), F.col("_h").alias("keep_h"))
+    rows = packed(docs).select("doc", F.col("doc.doc_id"), row_hash("doc.text").alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+    return rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "h"]).select("doc.*")

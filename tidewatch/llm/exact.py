@@ -32,7 +32,7 @@ def normalised() -> Column:
 def blocks_of(text: Column, block: int) -> Column:
     """Fixed-size blocks of a text, in one pass over it; an empty text has one empty block."""
     found = F.regexp_extract_all(text, F.lit(rf"([\s\S]{{1,{block}}})"), F.lit(1))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    return F.when(text == "", F.array(F.lit(""))).otherwise(found)
 
 
 def _hashed(block: Column, seed: int) -> Column:
@@ -43,7 +43,7 @@ def _hashed(block: Column, seed: int) -> Column:
 
 def block_names(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     """Names of all distinct blocks, and the seed whose hashes tell them apart."""
-    pieces = docs.select(F.explode(blocks_of(normalised(), block)).alias("block"))
+    pieces = docs.select(normalised().alias("bare")).select(F.explode(blocks_of(F.col("bare"), block)).alias("block"))
     for seed in range(SEED_PAIRS):
         distinct = pieces.withColumn("h", _hashed(F.col("block"), seed)).select("h.h1", "h.h2", "block").distinct()
         hashes = stage(distinct.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("blocks")), "blocks")
@@ -58,15 +58,18 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     (depth, name) is the identity of the normalised text.
     """
     names, seed = block_names(docs, block)
-    text = normalised()
+    given = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "doc_id",
+        row_hash().alias("_h"),
+        F.char_length(text_or_empty()).alias("points"),
+        normalised().alias("bare"),
+    )
     rows = stage(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            "doc_id",
-            row_hash().alias("_h"),
-            F.char_length(text_or_empty()).alias("points"),
-            F.sha2(text, 256).alias("text_sha256"),
-            F.transform(blocks_of(text, block), lambda b: _hashed(b, seed)).alias("blocks"),
+        given.select(
+            *given.columns[:-1],
+            F.sha2("bare", 256).alias("text_sha256"),
+            F.transform(blocks_of(F.col("bare"), block), lambda b: _hashed(b, seed)).alias("blocks"),
         ),
         "documents",
     )
@@ -110,7 +113,8 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             (-F.col("points")).alias("order"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("_row")
         )
     )
-    kept = named.groupBy("depth", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below reads both sides from a shuffle and adaptive execution can split a group of many copies.
+    kept = stage(named.groupBy("depth", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "kept")
     return named.join(kept, ["depth", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),

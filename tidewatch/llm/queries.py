@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import exact, secrets
+from tidewatch.llm import exact, packing, quality, secrets, simhash
 from tidewatch.llm.common import table
 from tidewatch.session import shared_path
 
@@ -43,13 +43,18 @@ def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.scan(docs, shared_path(spark, "blob-ledger"))
     spans = secrets.as_text(F.col("found"))
     return found.select(
-        "doc_id",
+        "doc.doc_id",
         *[secrets.count_of(F.col("found"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
         F.sha2(spans, 256).alias("base_sha256"),
         spans.alias("spans"),
     )
 
 
+@QUERIES.add()
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf, "documents")))
+
+
 @QUERIES.add(
     r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
@@ -58,3 +63,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 )
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.groups(table(spark, sf, "documents")).drop("_h")
+
+
+@QUERIES.add()
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@QUERIES.add()
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import packed, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def update_ledger(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULE
 
 
 def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Bring the ledger up to date with `docs`; all their columns, and `found` by start, then by rule.
+    """Bring the ledger up to date with `docs`; each row as `doc`, and `found` by start, then by rule.
 
     `found` is an array of (s, e, kind); null where a text holds nothing.
     """
@@ -130,7 +130,8 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFra
             ).alias("found"),
         )
     )
-    return docs.withColumn("_blob", blob).join(found, "_blob", "left").drop("_blob")
+    rows = packed(docs).select("doc", F.unhex(F.sha2(text_or_empty("doc.text"), 256)).alias("_blob"))
+    return rows.join(found, "_blob", "left").drop("_blob")
 
 
 def as_text(found):
@@ -168,4 +169,5 @@ def redacted(docs: DataFrame, ledger: str, mark: str = "[removed]", rules: Seque
 
     hit = scan(docs, ledger, rules)
     clean, dirty = hit.where("found is null"), hit.where("found is not null")
-    return clean.drop("found").unionByName(dirty.withColumn("text", cut("text", "found")).drop("found"))
+    dirty = dirty.withColumn("doc", F.col("doc").withField("text", cut("doc.text", "found")))
+    return clean.select("doc.*").unionByName(dirty.select("doc.*"))
