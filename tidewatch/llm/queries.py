@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import exact, packing, quality, secrets, simhash
+from tidewatch.llm import exact, licenses, packing, pieces, quality, secrets, simhash, topk
 from tidewatch.llm.common import table
 from tidewatch.session import shared_path
 
@@ -55,6 +55,18 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf, "documents")))
 
 
+@QUERIES.add()
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    both = pieces.decode(pieces.encode(table(spark, sf, "documents")))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        pieces.crc32_of(F.col("ids")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @QUERIES.add(
     r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
@@ -74,3 +86,33 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.classes(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@QUERIES.add(
+    r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+)
+def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@QUERIES.add()
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["coverage"], m["license"])))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["s"], m["e"], F.round(m["coverage"], 4)))
+    return found.select(
+        "doc.doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        best["license"].alias("license"),
+        F.round(best["coverage"], 4).alias("coverage"),
+        F.concat_ws(",", spans).alias("spans"),
+    )
