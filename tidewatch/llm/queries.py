@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import exact, licenses, packing, pieces, quality, secrets, simhash, substrings, topk
+from tidewatch.llm import exact, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
 from tidewatch.llm.common import table
 from tidewatch.session import shared_path
 
@@ -77,6 +77,12 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.groups(table(spark, sf, "documents")).drop("_h")
 
 
+@QUERIES.add()
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.per_document(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 @QUERIES.add()
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -106,16 +112,16 @@ def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(
     r"""
-WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, unnest(range(0, octet_length(raw) - 399)) AS p, h FROM b WHERE octet_length(raw) >= 400),
-n AS (SELECT r, p, count(*) OVER (PARTITION BY md5(substr(h, 2 * p + 1, 800))) AS n FROM w),
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT r, unnest(range(0, octet_length(raw) - 399)) AS p, raw FROM b WHERE octet_length(raw) >= 400),
+n AS (SELECT r, p, count(*) OVER (PARTITION BY md5(raw[p + 1 : p + 400])) AS n FROM w),
 s AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, true) AS new FROM n WHERE n > 1),
 i AS (SELECT r, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY p) AS island FROM s),
 span AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM i GROUP BY r, island),
 total AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r),
 edge AS (SELECT r, s, e FROM span UNION ALL SELECT r, octet_length(raw), octet_length(raw) FROM b),
 piece AS (SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s, e), 0) AS a FROM edge),
-rest AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s) AS rest FROM piece JOIN b USING (r) GROUP BY r)
+rest AS (SELECT r, string_agg(CASE WHEN s > a THEN hex(raw[a + 1 : s]) ELSE '' END, '' ORDER BY s) AS rest FROM piece JOIN b USING (r) GROUP BY r)
 SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(rest)) AS kept_sha256
 FROM b JOIN rest USING (r) LEFT JOIN total USING (r)"""

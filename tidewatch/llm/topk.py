@@ -137,13 +137,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int = B
         return rows.where("vec_id is not null and weights is not null")
 
     asked = usable(queries).groupBy("vec_id").agg(F.min("weights").alias("weights"))
-    blocks = max(1, -(-asked.count() // block))
+    blocks = -(-asked.count() // block)
+    if not blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = stage(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "top-queries")
     given, path = usable(vectors), shared_path(spark, "top-found")
     for number in range(blocks):
         rows = asked.where(F.col("block") == number).orderBy("vec_id").select("vec_id", "weights").toArrow()
-        ids = np.asarray(rows.column("vec_id"))
-        weights = _matrix(rows.column("weights").combine_chunks(), 0).T if len(ids) else np.zeros((0, 0), np.int64)
+        if not rows.num_rows:
+            continue
+        ids, weights = np.asarray(rows.column("vec_id")), _matrix(rows.column("weights").combine_chunks(), 0).T
         sent = spark.sparkContext.broadcast((ids, weights))
         given.mapInArrow(_searcher(sent, top), FOUND).write.mode("append").parquet(path)
         sent.unpersist()
