@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import (
-    clean, cooldown, labels, metrics, prepare, rollups, scenarios, split, validate,
+    clean, cooldown, labels, metrics, order, prepare, rollups, scenarios, split, validate,
 )
 from tidewatch.operators.validate import FEATURE_RULES, LABEL_RULES
 from tidewatch.sources import schemas, tables
@@ -311,11 +311,10 @@ def test_prepare(spark):
     assert again == fitted
 
 
-def test_prepare_constant_column_and_limit(spark, monkeypatch):
+def test_prepare_constant_column_and_many_categories(spark):
     assert prepare.fit(spark.createDataFrame([(5.0,), (5.0,)], "n double"), ["n"], []).numbers["n"].scale == 1.0
-    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError):
-        prepare.fit(spark.range(5).select(F.col("id").cast("string").alias("c")), [], ["c"])
+    fitted = prepare.fit(spark.range(12_000).select(F.col("id").cast("string").alias("c")), [], ["c"])
+    assert len(fitted.categories["c"]) == 12_000
 
 
 # ---- scenarios
@@ -360,6 +359,10 @@ def test_rollups(spark):
     assert counts == {(0, "a"): 1, (0, "e"): 1, (10, "a"): 2}
     errors = rollups.error_counts(df, "ts", F.col("kind") == "e", {"slow": F.col("v") > 0.1}).orderBy("window_start").collect()
     assert [(r["window_start"].minute, r["errors"], r["slow"]) for r in errors] == [(0, 1, 1), (5, 0, 0), (10, 0, 0)]
+    typed = rollups.errors_by_type(df, "ts", "kind", span=(T0, T0 + dt.timedelta(minutes=20))).collect()
+    found = {(r["window_start"].minute, r["error_type"]): r["errors"] for r in typed}
+    assert len(found) == 10 and {k: v for k, v in found.items() if v} == {(0, "a"): 1, (0, "e"): 1, (10, "a"): 2}
+    assert rollups.errors_by_type(df.where("false"), "ts", "kind").count() == 0
     latency = {r["window_start"].minute: r for r in rollups.latency_per_window(df, "ts", "v").collect()}
     assert latency[10]["p95"] == 2.5 and latency[10]["n"] == 2
     assert latency[0]["p95"] == pytest.approx(0.1 + 0.15 * (1.9 - 1) / 1)
@@ -376,3 +379,45 @@ def test_versions(spark):
     out = {r["model_version"]: r for r in rollups.version_succession(activity).collect()}
     assert out["v1"]["previous_version"] is None and out["v2"]["previous_version"] == "v1"
     assert (out["v1"]["accuracy"], out["v2"]["accuracy"], out["v1"]["positive_rate"]) == (0.5, None, 0.5)
+
+
+# ---- cases of round 2
+
+def test_buckets_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(order, "MAX_BUCKETS", 3)
+    df = spark.range(900).select((F.col("id") % 2).alias("k"), F.floor(F.sqrt("id")).alias("v"), "id")
+    got = order.rank_rows(df, ["k"], ["v", "id"], "rank", rows_per_task=40).toPandas().sort_values(["k", "v", "id"])
+    want = got.groupby("k").cumcount() + 1
+    assert (got["rank"] == want).all()
+    cut = order.cut_rows(df, ["k"], ["v", "id"], lambda n: F.floor(n / 3), rows_per_task=40).collect()
+    ordered = {k: g.reset_index() for k, g in got.groupby("k")}
+    assert {r["k"]: r["_cut"]["id"] for r in cut} == {k: int(g.id[149]) for k, g in ordered.items()}
+
+
+def test_aligned_scores_need_the_same_rows_once(spark):
+    left = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.1)], "id long, a double")
+    right = spark.createDataFrame([(1, None), (2, 0.2), (3, 0.3)], "id long, b double")
+    rows = {r["id"]: (r["a"], r["b"]) for r in metrics.align_scores(left, right, "id").collect()}
+    assert rows == {1: (0.5, None), 2: (None, 0.2), 3: (0.1, 0.3)}
+    for bad in (left.where("id < 3"), left.unionAll(left), left.unionAll(left.where("id = 1"))):
+        with pytest.raises(ValueError):
+            metrics.align_scores(bad, right, "id")
+    with pytest.raises(ValueError):
+        metrics.align_scores(left.unionAll(left.where("id = 1")), right.unionAll(right.where("id = 1")), "id")
+
+
+@pytest.mark.parametrize("rows_per_task", [5, None])
+def test_stratified_split_keeps_a_null_class(spark, rows_per_task):
+    df = spark.range(103).select("id", F.when(F.col("id") % 10 < 3, F.lit("a")).when(F.col("id") % 10 < 9, F.lit("b")).alias("y"))
+    out = split.stratified_split(df, "y", ["id"], 0.2, rows_per_task=rows_per_task).toPandas()
+    assert len(out) == 103 and (out.split == "test").sum() == 21
+    test = out[out.split == "test"].y.fillna("none").value_counts()
+    shares = out.y.fillna("none").value_counts() * 21 / 103
+    assert ((test - shares).abs() < 1).all()
+
+
+def test_spine_of_a_long_time_is_distributed(spark):
+    rows = [(dt.datetime(2020, 1, 1), "e"), (dt.datetime(2024, 1, 1), "e")]
+    df = spark.createDataFrame(rows, "ts timestamp, kind string")
+    out = rollups.error_counts(df, "ts", F.col("kind") == "e", {})
+    assert out.count() == 4 * 365 * 288 + 288 + 1 and out.agg(F.sum("errors")).first()[0] == 2

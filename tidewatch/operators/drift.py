@@ -445,9 +445,10 @@ def _quantile_integral(placed: DataFrame, ref_profile: DataFrame, levels: DataFr
     Levels are cut into equal slices; a baseline value is present in every slice its share touches, so
     each slice answers its levels alone.
     """
-    sizes = order.measure(placed, ["feature"])
-    # Slices cost nothing to assign, and narrow ones sort faster than wide ones.
-    slices = max(1, min(order.MAX_BUCKETS, sizes.largest // min(rows_per_task or SLICE_ROWS, SLICE_ROWS)))
+    levels = stage(levels, "levels")
+    # Whichever side is larger decides; slices cost nothing to assign, and narrow ones sort faster than wide ones.
+    largest = max(order.measure(placed, ["feature"]).largest, order.measure(levels, ["feature"]).largest)
+    slices = max(1, largest // min(rows_per_task or SLICE_ROWS, SLICE_ROWS))
 
     def slice_of(level: Column) -> Column:
         return F.least(F.floor(level * slices), F.lit(slices - 1)).cast("int")

@@ -72,8 +72,23 @@ def _maybe_broadcast(df: DataFrame, expected_rows: float) -> DataFrame:
 
 
 def add_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: Sizes, rows_per_task: int) -> DataFrame:
-    """Add `_bucket`, increasing with the order columns inside each key."""
-    rows = max(1, rows_per_task // 10, -(-sizes.largest // MAX_BUCKETS))
+    """Add `_bucket`, increasing with the order columns inside each key.
+
+    The bounds of a key are one array, so a key beyond MAX_BUCKETS buckets is cut into coarse buckets first,
+    and each of these into buckets of the wanted size.
+    """
+    rows = max(1, rows_per_task // 10)
+    if sizes.largest <= rows * MAX_BUCKETS:
+        return _cut_at_bounds(df, keys, order, sizes, rows)
+    coarse = _cut_at_bounds(df, keys, order, sizes, -(-sizes.largest // MAX_BUCKETS)).withColumnRenamed("_bucket", "_coarse")
+    within = [*keys, "_coarse"]
+    fine = _cut_at_bounds(coarse, within, order, measure(coarse, within), rows)
+    wide = F.col("_coarse").cast("long") * F.lit(1 << 32) + F.col("_bucket")
+    return fine.withColumn("_bucket", wide).drop("_coarse")
+
+
+def _cut_at_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: Sizes, rows: int) -> DataFrame:
+    """Buckets of about `rows` rows, found by bisection in an array of bounds per key."""
     modulus = max(1, rows // OVERSAMPLE)
     every = OVERSAMPLE if rows >= OVERSAMPLE else max(1, rows)
     key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
@@ -137,7 +152,7 @@ def running_totals(
 
 
 def _bucket_offsets(bucketed: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """Per bucket, the sums of all buckets before it; at most MAX_BUCKETS-odd rows per key."""
+    """Per bucket, the sums of all buckets before it; one row per bucket."""
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()],
         F.max(order[0]).alias("_max"),
@@ -170,11 +185,13 @@ def cut_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    target: Callable[[Column], Column],
+    target: Callable[[Column], Column] | DataFrame,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """One row per key: the order columns (as `_cut`) of the row whose rank is `target(n)`.
 
+    `target` may also be a table with the keys, `_n` and `_target`.
+
     Only the keys and order columns are moved, and beyond one task per key only the bucket that
     holds the wanted rank is sorted. Keys whose target is outside 1..n give no row. Also returns
     `_n` (rows of the key) and `_target`.
@@ -183,9 +200,13 @@ def cut_rows(
     wanted_keys = list(keys)
     df, keys = keyed(df, keys)
     slim = df.select(*dict.fromkeys([*keys, *order])).withColumn("_one", F.lit(1).cast("long"))
-    counts = stage(slim.groupBy(*keys).agg(F.sum("_one").alias("_n")), "key-sizes")
+    if isinstance(target, DataFrame):
+        counts = target
+    else:
+        counts = stage(slim.groupBy(*keys).agg(F.sum("_one").alias("_n")), "key-sizes")
+        counts = counts.withColumn("_target", target(F.col("_n")).cast("long"))
     sizes = known_sizes(counts, "_n")
-    goals = _maybe_broadcast(counts.select(*keys, "_n", target(F.col("_n")).cast("long").alias("_target")), sizes.keys)
+    goals = _maybe_broadcast(counts.select(*keys, "_n", "_target"), sizes.keys)
     if sizes.largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order)
         ranked = slim.withColumn("_rank", F.row_number().over(w))

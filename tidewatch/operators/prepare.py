@@ -13,8 +13,6 @@ from tidewatch.session import stage
 
 # Fixed value: the text that stands for an absent category.
 MISSING = "missing"
-# Every category becomes a column of the model matrix, which bounds how many make sense.
-MAX_CATEGORIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -147,9 +145,6 @@ def fit_table(
             )
         )
         distinct = stage(train.select(cells).distinct(), "categories")
-        widest = distinct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-        if widest > MAX_CATEGORIES:
-            raise ValueError(f"a feature has {widest} categories; at most {MAX_CATEGORIES} can be encoded")
         lists = distinct.groupBy("feature").agg(F.sort_array(F.collect_list("v")).alias("categories"))
         empty = F.lit(None).cast("double")
         out = out.unionByName(

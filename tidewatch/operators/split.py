@@ -56,29 +56,27 @@ def stratified_split(
     any partitioning. `shuffle_key` replaces the hash.
     """
     mixed = rows.withColumn("_mix", F.xxhash64(*key, F.lit(seed)) if shuffle_key is None else shuffle_key)
-    quotas = test_quotas(rows.groupBy(target).agg(F.count(F.lit(1)).alias("_rows")), target, test_size)
-    # One entry per class, so the quotas travel as literals.
-    quota = F.lit(0)
-    for label, take in quotas.items():
-        quota = F.when(F.col(target) == label, F.lit(take)).otherwise(quota)
+    counts = stage(rows.groupBy(target).agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
     order_by = ["_mix", *key]
-    cuts = order.cut_rows(mixed, [target], order_by, lambda n: quota, rows_per_task).select(target, "_cut")
+    cuts = order.cut_rows(mixed, [target], order_by, test_quotas(counts, target, test_size), rows_per_task)
     inside = F.struct(*[F.col(c) for c in order_by]) <= F.col("_cut")
-    joined = mixed.join(stage(cuts, "class-cuts"), target, "left")
+    joined = order.join_on(mixed, stage(cuts.select(target, "_cut"), "class-cuts"), [target], "left")
     return joined.select(*rows.columns, F.when(inside, "test").otherwise("train").alias("split"))
 
 
-def test_quotas(class_counts: DataFrame, target: str, test_size: float) -> dict:
-    """How many test rows each class gives: floors of the exact shares, then the largest remainders."""
-    counts = {r[target]: r["_rows"] for r in class_counts.collect()}
-    n = sum(counts.values())
+def test_quotas(counts: DataFrame, target: str, test_size: float) -> DataFrame:
+    """How many test rows (`_target`) each class of `_n` rows gives, a null class included.
+
+    Floors of the exact shares, then one more for the largest remainders.
+    """
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     total = -int(-n * test_size // 1)
-    exact = {label: total * c / n for label, c in counts.items()}
-    quotas = {label: int(x) for label, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda label: (quotas[label] - exact[label], label))
-    for label in by_remainder[: total - sum(quotas.values())]:
-        quotas[label] += 1
-    return quotas
+    exact = F.lit(total) * F.col("_n") / F.lit(n)
+    shares = counts.withColumn("_floor", F.floor(exact)).withColumn("_short", F.col("_floor") - exact)
+    shares = stage(order.rank_rows(shares, [], ["_short", target], "_place"), "class-quotas")
+    given = shares.agg(F.sum("_floor")).first()[0] or 0
+    extra = F.when(F.col("_place") <= total - given, 1).otherwise(0)
+    return shares.select(target, "_n", (F.col("_floor") + extra).cast("long").alias("_target"))
 
 
 def count_windows(
