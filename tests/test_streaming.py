@@ -73,12 +73,12 @@ def test_outcome_join_and_accuracy(spark, tmp_path):
 def test_latest_label_and_cooldown_keep_state_between_batches(spark, tmp_path):
     outcomes.use_rocksdb(spark)
     sent = spark.range(9).select(
-        (F.col("id") % 3).alias("request_id"), (F.col("id") % 2).cast("int").alias("actual_label"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id"))).alias("received_at"), F.col("id").alias("seq")
+        F.concat(F.lit("r"), F.col("id") % 3).alias("request_id"), (F.col("id") % 2).cast("int").alias("actual_label"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id"))).alias("received_at"), F.col("id").alias("seq")
     )
     out = run.drain(outcomes.latest_labels(as_stream(spark, sent, tmp_path / "l", 3, "received_at")), "t").toPandas()
     assert len(out) == 9
     newest = out.sort_values("seq").groupby("request_id").tail(1)
-    assert dict(zip(newest.request_id, newest.actual_label)) == {0: 0, 1: 1, 2: 0}
+    assert dict(zip(newest.request_id, newest.actual_label)) == {"r0": 0, "r1": 1, "r2": 0}
 
     times = [0, 100, 3599, 3600, 3700, 7199, 7200]
     breaches = spark.createDataFrame([("k", i, T0 + dt.timedelta(seconds=t)) for i, t in enumerate(times)], "k string, id long, ts timestamp")

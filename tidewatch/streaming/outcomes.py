@@ -45,20 +45,21 @@ def live_accuracy(joined: DataFrame, length: str = "7 days", slide: str = "1 day
     )
 
 
-LATEST_SCHEMA = T.StructType(
-    [
-        T.StructField("request_id", T.LongType()),
-        T.StructField("actual_label", T.IntegerType()),
-        T.StructField("received_at", T.TimestampType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
+LATEST = ["request_id", "actual_label", "received_at", "seq"]
 
 
 class LatestLabel(StatefulProcessor):
-    """Keeps the newest label of a request and emits it whenever it is replaced."""
+    """Keeps the newest label of a request and emits it whenever it is replaced.
+
+    A request is forgotten once the watermark is `days` beyond its last label, so that the state doesn't
+    grow for ever.
+    """
+
+    def __init__(self, days: float) -> None:
+        self.milliseconds = int(days * 86_400_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.latest = handle.getValueState("latest", "received_at timestamp, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
@@ -71,16 +72,31 @@ class LatestLabel(StatefulProcessor):
         newer = known is None or (best["received_at"].to_pydatetime(), int(best["seq"])) > (known[0], known[1])
         if newer:
             self.latest.update((best["received_at"].to_pydatetime(), int(best["seq"])))
-            yield pd.DataFrame([best[[f.name for f in LATEST_SCHEMA]]])
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(best["received_at"].timestamp() * 1000) + self.milliseconds)
+            yield pd.DataFrame([best[LATEST]])
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        self.latest.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def latest_labels(labels: DataFrame) -> DataFrame:
-    """Live view of corrections: a row per request each time a later label replaces the earlier one."""
-    return labels.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=LatestLabel(), outputStructType=LATEST_SCHEMA, outputMode="append", timeMode="none"
+def latest_labels(labels: DataFrame, longest_delay_days: int = 365) -> DataFrame:
+    """Live view of corrections: a row per request each time a later label replaces the earlier one.
+
+    Request ids may be of any type. Labels later than the longest delay are dropped, and a request without
+    labels for as long is forgotten.
+    """
+    known = labels.select(*LATEST).withWatermark("received_at", f"{longest_delay_days} days")
+    return known.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=LatestLabel(longest_delay_days),
+        outputStructType=T.StructType([labels.schema[c] for c in LATEST]),
+        outputMode="append",
+        timeMode="EventTime",
     )
 
 

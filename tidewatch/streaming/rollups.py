@@ -34,6 +34,14 @@ def errors(log: DataFrame, error: Column, time: str = "created_at", delay: str =
     return counted.select(F.col("_w.start").alias("window_start"), "errors", "n")
 
 
+def errors_by_type(log: DataFrame, kind: str, time: str = "created_at", delay: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
+    """Errors per window and type; `kind` is null for rows that are no errors."""
+    # Rows without an error are counted as 0 rather than filtered, so that they too move the watermark.
+    grouped = log.withWatermark(time, delay).groupBy(F.window(time, length).alias("_w"), F.col(kind).alias("error_type"))
+    counted = grouped.agg(F.count(kind).alias("errors")).where("errors > 0")
+    return counted.select(F.col("_w.start").alias("window_start"), "error_type", "errors")
+
+
 def latency(log: DataFrame, value: str = "latency", time: str = "created_at", delay: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
     """Mean and 95th percentile per window; the state holds one counter per bucket, not the values."""
     return rollups.latency_per_window(log.withWatermark(time, delay), time, value, length)
