@@ -25,7 +25,7 @@ def baseline(spark, n=500):
     rng = np.random.default_rng(0)
     return spark.createDataFrame(
         pd.DataFrame({
-            "tenure": rng.integers(1, 72, n), "MonthlyCharges": rng.uniform(20, 100, n), "TotalCharges": rng.uniform(100, 8000, n),
+            "visits": rng.poisson(30, n), "basket": rng.gamma(2.0, 12.0, n), "distance": rng.exponential(400.0, n),
         })
     )
 
@@ -37,11 +37,11 @@ def log_of(spark, frames):
     for kind, n in frames:
         if kind == "same":
             parts.append(pd.DataFrame({
-                "tenure": rng.integers(1, 72, n), "MonthlyCharges": rng.uniform(20, 100, n), "TotalCharges": rng.uniform(100, 8000, n),
+                "visits": rng.poisson(30, n), "basket": rng.gamma(2.0, 12.0, n), "distance": rng.exponential(400.0, n),
             }))
         else:
             i = np.arange(n)
-            parts.append(pd.DataFrame({"tenure": 1, "MonthlyCharges": 9999.0 + i, "TotalCharges": 99999.0 + i}, index=i))
+            parts.append(pd.DataFrame({"visits": 250, "basket": 700.0 + i / 2, "distance": 20_000.0 - i}, index=i))
     pdf = pd.concat(parts, ignore_index=True)
     pdf["id"] = np.arange(len(pdf))
     pdf["created_at"] = [T0 + dt.timedelta(minutes=int(i)) for i in range(len(pdf))]
@@ -67,7 +67,7 @@ def test_pass_outcomes(spark):
 
 
 def test_pass_share_threshold_is_inclusive(spark):
-    log = log_of(spark, [("same", 100)]).withColumn("tenure", F.lit(500))
+    log = log_of(spark, [("same", 100)]).withColumn("visits", F.lit(500))
     config = PassConfig(window_size=100, min_samples=50)
     row = windows(drift_pass.drift_pass(baseline(spark), log, config=config))[0]
     assert row["drift_share"] == pytest.approx(1 / 3) and row["outcome"] == "drift_detected"
@@ -87,9 +87,9 @@ def test_pass_without_reference_rows_or_columns(spark):
 
 def test_sensitivity(spark):
     ref = baseline(spark, 2000)
-    out = drift_pass.sensitivity(ref, ref, [Scale("MonthlyCharges", 3.0)], [0.0, 1.0], F.lit(0.0))
+    out = drift_pass.sensitivity(ref, ref, [Scale("basket", 3.0)], [0.0, 1.0], F.lit(0.0))
     got = {(r["strength"], r["feature"]): r["drifted"] for r in out.collect()}
-    assert got[(1.0, "MonthlyCharges")] and not got[(0.0, "MonthlyCharges")] and not got[(1.0, "tenure")]
+    assert got[(1.0, "basket")] and not got[(0.0, "basket")] and not got[(1.0, "visits")]
 
 
 # ---- sources and assembly
@@ -290,3 +290,17 @@ def test_train_score_save_and_load(spark, tmp_path):
     summary = assembly.split_summary(rows.withColumns({"split": F.lit("train"), "from_feedback": F.lit(False)}), "Churn")
     run = training.run_summary(metrics.evaluate(scored, "Churn", "probability"), summary, params, fitted.feature_names, "v1").first()
     assert run["params"]["rounds"] == "5" and run["n_train"] == n and run["metrics"]["roc_auc"] > 0.95
+
+
+def test_append_refuses_incomplete_records(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    good = [("1", "r", "{}", 1, 0.5, "v", False, T0)]
+    names = "id string, request_id string, features string, prediction int, probability double, model_version string, drift_analyzed boolean, created_at timestamp"
+    record = spark.createDataFrame(good, names)
+    with pytest.raises(tables.DataValidationError):
+        tables.append_predictions(record.drop("probability"), str(tmp_path / "log"))
+    with pytest.raises(PySparkException):
+        tables.append_predictions(record.withColumn("probability", F.lit(None).cast("double")), str(tmp_path / "log"))
+    tables.append_predictions(record, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 1

@@ -351,10 +351,10 @@ _FLOORS = {"roc_auc": 0.5, "f1": 0.7, "precision": 0.9, "specificity": 0.5}
 @QUERIES.add(
     "WITH " + DOCS_SQL + "," + metrics_sql("scored", "quality", "candidate_score", "lang")
     + """ SELECT lang, array_to_string(list_filter([
- CASE WHEN roc_auc IS NULL THEN 'roc_auc missing (floor 0.5)' WHEN roc_auc < 0.5 THEN printf('roc_auc=%.4f < floor 0.5', roc_auc) END,
- CASE WHEN f1 < 0.7 THEN printf('f1=%.4f < floor 0.7', f1) END,
- CASE WHEN "precision" < 0.9 THEN printf('precision=%.4f < floor 0.9', "precision") END,
- 'specificity missing (floor 0.5)'], lambda x: x IS NOT NULL), '; ') AS violations FROM evaluated"""
+ CASE WHEN roc_auc IS NULL THEN 'roc_auc: no value, 0.5 wanted' WHEN roc_auc < 0.5 THEN printf('roc_auc: %.4f, 0.5 wanted', roc_auc) END,
+ CASE WHEN f1 < 0.7 THEN printf('f1: %.4f, 0.7 wanted', f1) END,
+ CASE WHEN "precision" < 0.9 THEN printf('precision: %.4f, 0.9 wanted', "precision") END,
+ 'specificity: no value, 0.5 wanted'], lambda x: x IS NOT NULL), '; ') AS violations FROM evaluated"""
 )
 def metric_floors(spark, sf):
     evaluated = metrics.evaluate(views.labelled_documents(spark, sf), "quality", "candidate_score", by=["lang"])
@@ -693,6 +693,20 @@ def errors_per_5_minutes(spark, sf):
     return tidy(rollups.error_counts(log, "created_at", F.col("event_type") == "error", kinds))
 
 
+_TYPE = "CASE WHEN event_type = 'error' THEN 'level-' || CAST(CAST(floor(k / 25e0) AS BIGINT) AS VARCHAR) END"
+
+
+@QUERIES.add(
+    f"""WITH {LOG_SQL}, t AS (SELECT {_FIVE} AS window_start, {_TYPE} AS error_type FROM log WHERE event_type = 'error'),
+c AS (SELECT window_start, error_type, {n()} AS errors FROM t GROUP BY ALL),
+spine AS (SELECT CAST(unnest(generate_series((SELECT min(window_start) FROM c), (SELECT max(window_start) FROM c), INTERVAL 5 MINUTE)) AS TIMESTAMP) AS window_start),
+types AS (SELECT DISTINCT error_type FROM c)
+SELECT window_start, error_type, coalesce(errors, 0) AS errors FROM spine CROSS JOIN types LEFT JOIN c USING (window_start, error_type)"""
+)
+def errors_by_type_per_5_minutes(spark, sf):
+    return tidy(rollups.errors_by_type(views.with_error_type(views.log(spark, sf)), "created_at", "error_type"))
+
+
 def in_milliseconds(latency):
     """The mean in milliseconds: averages of five-decimal seconds fall on rounding ties."""
     return tidy(latency.select("window_start", "n", (F.col("mean") * 1000).alias("mean_ms"), "p95"))

@@ -58,6 +58,15 @@ def stream_errors(spark, sf):
     return tidy(run.drain(stream_rollups.errors(log_stream(spark, sf), F.col("event_type") == "error"), "stream-errors"))
 
 
+@QUERIES.add(
+    f"""WITH {LOG_SQL} SELECT {_WINDOW} AS window_start, 'level-' || CAST(CAST(floor(k / 25e0) AS BIGINT) AS VARCHAR) AS error_type, {n()} AS errors
+FROM log WHERE event_type = 'error' AND {_CLOSED} GROUP BY ALL"""
+)
+def stream_errors_by_type(spark, sf):
+    typed = views.with_error_type(log_stream(spark, sf))
+    return tidy(run.drain(stream_rollups.errors_by_type(typed, "error_type"), "stream-error-types"))
+
+
 @QUERIES.add(
     f"""WITH {LOG_SQL}, h AS (SELECT {_WINDOW} AS window_start, {_LE} AS le, {n()} AS n, avg(latency) AS mean FROM log WHERE {_CLOSED} GROUP BY 1)
 SELECT window_start, n, {r('mean * 1000', 'mean_ms')}, {r(quantile_sql(rollups.LATENCY_BOUNDS, 0.95), 'p95')} FROM h"""

@@ -56,6 +56,12 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return as_log(table(spark, sf, "events"))
 
 
+def with_error_type(log: DataFrame) -> DataFrame:
+    """The log with a type for rows that are errors, made from the data."""
+    level = F.concat(F.lit("level-"), F.floor(F.col("k") / 25).cast("string"))
+    return log.withColumn("error_type", F.when(F.col("event_type") == "error", level))
+
+
 LOG_SQL = """log AS (
   SELECT event_id AS id, CAST(event_id AS VARCHAR) AS request_id, ts AS created_at, user_id, event_type, value, props, k,
          k / 1e2 AS probability, CASE WHEN k >= 50 THEN 1 ELSE 0 END AS prediction,

@@ -30,11 +30,41 @@ def error_counts(
         *[F.count_if(error & kind).alias(name) for name, kind in kinds.items()],
     )
     counted = stage(counted.select(F.col("_w.start").alias("window_start"), "errors", *kinds), "errors")
-    span = counted.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high"))
-    spine = span.where("low is not null").select(
-        F.explode(F.sequence("low", "high", F.expr(f"interval {length}"))).alias("window_start")
+    return spine(counted, length).join(counted, "window_start", "left").fillna(0, subset=["errors", *kinds])
+
+
+def spine(counted: DataFrame, length: str, span: tuple | None = None) -> DataFrame:
+    """All window starts from the first to the last of `counted` (or of `span`), made by many tasks."""
+    low, high = span or counted.agg(F.min("window_start"), F.max("window_start")).first()
+    spark = counted.sparkSession
+    if low is None:
+        return counted.select("window_start").limit(0)
+    bounds = spark.range(1).select(
+        F.unix_micros(F.lit(low)).alias("low"),
+        F.unix_micros(F.lit(high)).alias("high"),
+        (F.unix_micros(F.lit(low) + F.expr(f"interval {length}")) - F.unix_micros(F.lit(low))).alias("step"),
+    ).first()
+    steps = spark.range((bounds["high"] - bounds["low"]) // bounds["step"] + 1)
+    return steps.select(F.timestamp_micros(F.lit(bounds["low"]) + F.col("id") * bounds["step"]).alias("window_start"))
+
+
+def errors_by_type(
+    log: DataFrame, time: str, kind: str, length: str = "5 minutes", span: tuple | None = None
+) -> DataFrame:
+    """Errors per window and type, whatever types there are, with 0 where a type did not occur.
+
+    `kind` is null for rows that are no errors. Types are few; windows come from a distributed range.
+    """
+    counted = log.where(F.col(kind).isNotNull()).groupBy(F.window(time, length).alias("_w"), F.col(kind).alias("error_type"))
+    counted = stage(
+        counted.agg(F.count(F.lit(1)).alias("errors")).select(F.col("_w.start").alias("window_start"), "error_type", "errors"),
+        "errors-by-type",
     )
-    return spine.join(counted, "window_start", "left").fillna(0, subset=["errors", *kinds])
+    # One entry per type of error, not per row.
+    types = [r["error_type"] for r in counted.select("error_type").distinct().orderBy("error_type").collect()]
+    listed = F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>"))
+    every = spine(counted, length, span).select("window_start", listed.alias("error_type"))
+    return every.join(counted, ["window_start", "error_type"], "left").fillna(0, subset=["errors"])
 
 
 def histogram(

@@ -59,9 +59,9 @@ def floor_violations(metrics: Column, floors: dict[str, float]) -> Column:
     for name, floor in floors.items():
         value = F.try_element_at(metrics, F.lit(name))
         checks.append(
-            F.when(value.isNull(), F.lit(f"{name} missing (floor {floor})"))
-            .when(F.isnan(value), F.lit(f"{name} is not a number (floor {floor})"))
-            .when(value < floor, F.format_string(f"{name}=%.4f < floor {floor}", value))
+            F.when(value.isNull(), F.lit(f"{name}: no value, {floor} wanted"))
+            .when(F.isnan(value), F.lit(f"{name}: not a number, {floor} wanted"))
+            .when(value < floor, F.format_string(f"{name}: %.4f, {floor} wanted", value))
         )
     if not checks:
         return F.array().cast("array<string>")

@@ -79,8 +79,15 @@ def write_table(df: DataFrame | None, path: str, spark: SparkSession | None = No
 
 
 def append_predictions(records: DataFrame, path: str) -> None:
-    """Append log rows. The files of one write become visible together or not at all."""
-    align_to_schema(records, schemas.PREDICTION_LOG)[0].write.mode("append").parquet(path)
+    """Append log rows with all required columns; a null in one of them fails the write.
+
+    Spark's committer publishes the files when the whole job has succeeded.
+    """
+    required = [f.name for f in schemas.PREDICTION_LOG.fields if not f.nullable]
+    require_columns(records, required, "prediction records")
+    aligned = align_to_schema(records, schemas.PREDICTION_LOG)[0]
+    checked = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} must not be null"))).otherwise(F.col(c)) for c in required}
+    aligned.withColumns(checked).write.mode("append").parquet(path)
 
 
 def append_drift_history(summary: DataFrame, path: str) -> None:
