@@ -304,3 +304,24 @@ def test_append_refuses_incomplete_records(spark, tmp_path):
         tables.append_predictions(record.withColumn("probability", F.lit(None).cast("double")), str(tmp_path / "log"))
     tables.append_predictions(record, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+@pytest.mark.parametrize("by", [[], ["stream"]])
+def test_a_pass_in_parts_equals_one_pass(spark, by, tmp_path):
+    from tidewatch.streaming.windows import CountWindowDrift
+
+    ref = baseline(spark).select("visits", "basket", "distance")
+    log = log_of(spark, [("drifted", 200), ("same", 100), ("drifted", 300)]).withColumn("stream", F.lit("s"))
+    config = drift_pass.PassConfig(window_size=100, min_samples=100, cooldown_seconds=150 * 60)
+    features = ["visits", "basket", "distance"]
+    whole = drift_pass.drift_pass(ref, log, ("created_at", "id"), by, features, config)
+    want = [(r["window_id"], r["dataset_drift"], r["fired"]) for r in windows(whole)]
+    handler = CountWindowDrift(ref, str(tmp_path / "out"), features, ("created_at", "id"), by, config)
+    for number, (low, high) in enumerate([(0, 150), (150, 330), (330, 420), (420, 600)]):
+        part = log.where((F.col("id") >= low) & (F.col("id") < high))
+        handler(part, number)
+        if number == 1:
+            handler(part, number)  # a batch that is repeated
+    got = handler.read(spark, "windows").orderBy("window_id").collect()
+    assert [(r["window_id"], r["dataset_drift"], r["fired"]) for r in got] == want
+    assert [f for *_, f in want] == [True, False, False, True, False, True]

@@ -52,10 +52,12 @@ def fire(
     cooldown_seconds: float,
     by: Sequence[str] = (),
     rows_per_task: int | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add `fired` to breach rows: at least `cooldown_seconds` since the last fired one of its key.
 
-    A cooldown of zero lets every breach fire. Rows of equal time are taken in the order of `tie`.
+    A cooldown of zero lets every breach fire. Rows of equal time are taken in the order of `tie`. `earlier`
+    holds, per key, when it last fired before these rows (`last_fired`, may be null).
     """
     if cooldown_seconds <= 0:
         return breaches.withColumn("fired", F.lit(True))
@@ -64,9 +66,15 @@ def fire(
     rows_per_task = rows_per_task or order.ROWS_PER_TASK
     cooldown = int(cooldown_seconds * 1_000_000)
     rows = rows.withColumn("_t", F.unix_micros(time))
+    if earlier is None:
+        rows = rows.withColumn("_first", F.lit(_START).cast("long"))
+    else:
+        allowed = (F.unix_micros("last_fired") + cooldown).alias("_first")
+        rows = order.join_on(rows, order.keyed(earlier, [b for b in by if b in columns])[0].select(*by, allowed), by, "left")
+        rows = rows.fillna(_START, subset=["_first"])
     sizes = order.measure(rows, by)
     if sizes.largest <= rows_per_task:
-        bucketed = rows.withColumn("_bucket", F.lit(0)).withColumn("_entry", F.lit(_START).cast("long"))
+        bucketed = rows.withColumn("_bucket", F.lit(0)).withColumn("_entry", F.col("_first"))
     else:
         bucketed = order.add_bucket(rows, by, ["_t"], sizes, rows_per_task)
         bucketed = order.join_on(bucketed, _entries(bucketed, by, cooldown), [*by, "_bucket"])
@@ -104,7 +112,8 @@ def _entries(bucketed: DataFrame, by: Sequence[str], cooldown: int) -> DataFrame
     exit_schema = T.StructType(
         [
             *key_fields,
-            T.StructField("_bucket", T.IntegerType()),
+            bucketed.schema["_bucket"],
+            T.StructField("_first", T.LongType()),
             T.StructField("_latest", T.ArrayType(T.LongType())),
             T.StructField("_exit", T.ArrayType(T.LongType())),
         ]
@@ -115,14 +124,14 @@ def _entries(bucketed: DataFrame, by: Sequence[str], cooldown: int) -> DataFrame
         return pd.DataFrame([[*key, latest.tolist(), leave.tolist()]], columns=[f.name for f in exit_schema])
 
     # Equal times are one state, so they collapse before a bucket is handed over.
-    tables = bucketed.select(*by, "_bucket", "_t").distinct().groupBy(*by, "_bucket").applyInPandas(exits, exit_schema)
+    tables = bucketed.select(*by, "_bucket", "_first", "_t").distinct().groupBy(*by, "_bucket", "_first").applyInPandas(exits, exit_schema)
     entry_schema = T.StructType(
-        [*key_fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_entry", T.LongType())]
+        [*key_fields, bucketed.schema["_bucket"], T.StructField("_entry", T.LongType())]
     )
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_bucket")
-        state, states = _START, []
+        state, states = int(pdf["_first"].iloc[0]), []
         for latest, leave in zip(pdf["_latest"], pdf["_exit"]):
             states.append(state)
             at = int(np.searchsorted(latest, state, side="left"))

@@ -49,9 +49,13 @@ def drift_pass(
     features: Sequence[str] | None = None,
     config: PassConfig = PassConfig(),
     rows_per_task: int | None = None,
+    earlier: DataFrame | None = None,
 ) -> PassResult:
     """Replay a log against a baseline. Windows hold `window_size` rows, oldest first, per stream `by`.
 
+    `earlier` continues former passes: per stream the number of its next window and when it last fired
+    (`next_window`, `last_fired`), as `pass_state` gives them.
+
     Each window gets one outcome; a breach fires unless the stream fired less than the cooldown ago,
     by the end times of the windows.
     """
@@ -66,6 +70,11 @@ def drift_pass(
     cut = stage(
         split.count_windows(needed, order_by, config.window_size, config.min_samples, by, rows_per_task), "log-windows"
     )
+    if earlier is not None:
+        keyed, names = order.keyed(cut, by)
+        numbers = order.keyed(earlier, by)[0].select(*names, F.col("next_window").alias("_next"))
+        later = order.join_on(keyed, numbers, names, "left")
+        cut = later.withColumn("window_id", F.col("window_id") + F.coalesce("_next", F.lit(0))).select(*cut.columns)
     windows = cut.groupBy(*keys, "complete").agg(
         F.count(F.lit(1)).alias("analyzed_rows"), F.min(time).alias("window_start"), F.max(time).alias("window_end")
     )
@@ -102,11 +111,21 @@ def drift_pass(
     )
     decided = stage(decided, "drift-windows")
     breaches = decided.where("dataset_drift").select(*keys, "window_end")
-    fired = cooldown.fire(breaches, "window_end", "window_id", config.cooldown_seconds, by, rows_per_task)
+    fired = cooldown.fire(breaches, "window_end", "window_id", config.cooldown_seconds, by, rows_per_task, earlier)
     decided = order.join_on(decided, fired.drop("window_end"), keys, "left").fillna(False, subset=["fired"])
     return PassResult(_finish(decided, keys, config), tested)
 
 
+def pass_state(windows: DataFrame, by: Sequence[str] = (), earlier: DataFrame | None = None) -> DataFrame:
+    """Per stream the number of its next window and when it last fired, for the pass that follows."""
+    fired = F.max(F.when(F.col("fired"), F.col("window_end"))).alias("last_fired")
+    state = windows.groupBy(*by).agg((F.max("window_id") + 1).alias("next_window"), fired)
+    if earlier is None:
+        return state
+    both = state.unionByName(earlier.select(*state.columns))
+    return both.groupBy(*by).agg(F.max("next_window").alias("next_window"), F.max("last_fired").alias("last_fired"))
+
+
 def _finish(decided: DataFrame, keys: Sequence[str], config: PassConfig) -> DataFrame:
     return decided.select(
         *keys,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import drift, split
 from tidewatch.operators.drift import DriftConfig
 from tidewatch.plans import drift_pass as passes
-from tidewatch.session import stage
+from tidewatch.session import stage, temporary_tables
 from tidewatch.sources import tables
 
 
@@ -20,8 +20,8 @@ class CountWindowDrift:
     """A `foreachBatch` handler: rows wait until a window is large enough, then are tested.
 
     Everything a batch writes lies under its batch id and is overwritten when the batch is repeated:
-    first the result, then the ledger of analysed ids, and last the rows still waiting, which the next
-    batch starts from. A failure in between leaves the previous waiting rows in place, so no window is
+    first the result, then the ledger of analysed ids, the number of the next window and the last firing
+    of each stream, and last the rows still waiting, which the next batch starts from. A failure in between leaves the previous waiting rows in place, so no window is
     lost and none is counted twice.
     """
 
@@ -36,10 +36,15 @@ class CountWindowDrift:
         return f"{self.path}/{kind}/batch={batch_id}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with temporary_tables(batch.sparkSession):
+            self._run(batch, batch_id)
+
+    def _run(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = list(dict.fromkeys([*self.by, *self.order_by, *self.features]))
         rows = batch.select(*columns)
         waiting = tables.read_table(spark, self._at("waiting", batch_id - 1)) if batch_id > 0 else None
+        earlier = tables.read_table(spark, self._at("state", batch_id - 1)) if batch_id > 0 else None
         if waiting is not None:
             rows = rows.unionByName(waiting)
         cut = stage(
@@ -48,12 +53,16 @@ class CountWindowDrift:
         ready = cut.where("complete")
         if not ready.isEmpty():
             result = passes.drift_pass(
-                self.baseline, ready, self.order_by, self.by, self.features, self.config
+                self.baseline, ready, self.order_by, self.by, self.features, self.config, earlier=earlier
             )
             result.windows.write.mode("overwrite").parquet(self._at("windows", batch_id))
             if result.features is not None:
                 result.features.write.mode("overwrite").parquet(self._at("features", batch_id))
             ready.select(*self.by, self.order_by[-1]).write.mode("overwrite").parquet(self._at("ledger", batch_id))
+            done = spark.read.parquet(self._at("windows", batch_id))
+            passes.pass_state(done, self.by, earlier).write.mode("overwrite").parquet(self._at("state", batch_id))
+        elif earlier is not None:
+            earlier.write.mode("overwrite").parquet(self._at("state", batch_id))
         cut.where("not complete").select(*columns).write.mode("overwrite").parquet(self._at("waiting", batch_id))
 
     def read(self, spark: SparkSession, kind: str) -> DataFrame:
@@ -72,6 +81,10 @@ class EventTimeDrift:
     config: DriftConfig = DriftConfig()
 
     def __call__(self, counts: DataFrame, batch_id: int) -> None:
+        with temporary_tables(counts.sparkSession):
+            self._run(counts, batch_id)
+
+    def _run(self, counts: DataFrame, batch_id: int) -> None:
         closed = stage(counts, "closed-counts")
         tested = drift.compare_window_counts(
             self.baseline,
