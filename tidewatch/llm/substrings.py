@@ -11,7 +11,7 @@ at equal offsets, so a window has to be compared only with windows of the same a
 3. Contexts of different classes of an n-gram meet in one task, which sorts the suffixes at their windows: a
    merge sort whose comparisons find the common extension of two suffixes by bisection over polynomial
    prefix hashes. Neighbours that share `length` bytes are compared byte by byte before they count as equal.
-   An n-gram with very many contexts is not gathered: its windows are grouped by their hashes.
+   An n-gram with very many contexts is not gathered: strips of its windows are grouped by their hashes.
 4. What is repeated goes back to the occurrences of each class, and per document the spans are joined.
 
 Null text counts as empty; texts below `length` bytes lose nothing; a null doc_id is kept; repeated rows repeat
@@ -41,6 +41,8 @@ PLACE = np.uint64(24)
 # Contexts of an n-gram compared in one task, and windows sorted at once.
 GATHERED = 1024
 SORTED = 200_000
+# Offsets of a strip of windows, where contexts are too many for one task.
+STRIP_WIDTHS = (64, 32, 16, 4, 1)
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -280,44 +282,65 @@ def _comparer(length: int):
     return run
 
 
-WINDOWS = "g long, c1 long, c2 long, times long, place int, off int, w1 long, w2 long"
+STRIPS = "g long, c1 long, c2 long, times long, low int, first int, last int, m1 long, m2 long, f1 long, f2 long"
 
 
-def _windows(length: int):
+def _strips(length: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hashes of what all windows of a strip share, and of the whole strip."""
         for batch in batches:
+            out = []
             for r in batch.itertuples():
-                data = np.frombuffer(r.context, np.uint8)
-                n = len(data) - length + 1
-                place = np.arange(n)
-                w2 = [xxhash.xxh3_64_intdigest(r.context[i : i + length]) for i in range(n)]
-                yield pd.DataFrame(
-                    {
-                        "g": r.g,
-                        "c1": r.c1,
-                        "c2": r.c2,
-                        "times": r.times,
-                        "place": place.astype(np.int32),
-                        "off": (r.off - place).astype(np.int32),
-                        "w1": hashes_at(prefix_hashes(data), place, length).view(np.int64),
-                        "w2": np.array(w2, np.uint64).view(np.int64),
-                    }
-                )
+                n, raw = len(r.context) - length + 1, r.context
+                lowest = r.off - n + 1
+                lows = range(lowest // width * width, r.off + 1, width) if r.lows is None else r.lows
+                for parent in lows:
+                    for low in range(parent, parent + (width if r.lows is None else r.wide), width):
+                        least, most = max(low, lowest), min(low + width - 1, r.off)
+                        if least > most:
+                            continue
+                        shared = raw[r.off - low :][: max(0, length - width + 1)]
+                        full = raw[r.off - most : r.off - least + length]
+                        marks = xxhash.xxh3_128_digest(shared, low) + xxhash.xxh3_128_digest(full, least * length + most)
+                        out.append((r.g, r.c1, r.c2, r.times, low, r.off - most, r.off - least, *np.frombuffer(marks, np.int64)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STRIPS.split(", ")])
 
     return run
 
 
 def _crowded(classes: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of n-grams with very many contexts, by two hashes of each window."""
-    windows = classes.mapInPandas(_windows(length), WINDOWS)
-    same = ["g", "off", "w1", "w2"]
-    again = windows.groupBy(*same).agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    return (
-        windows.join(again, same, "left_semi")
-        .groupBy("g", "c1", "c2")
-        .agg(F.collect_set("place").alias("places"))
-        .select("g", "c1", "c2", F.transform("places", lambda p: F.struct(p.alias("first"), p.alias("last"))).alias("runs"))
-    )
+    """Repeated windows of n-grams with very many contexts, without a row for each window.
+
+    Windows at neighbouring offsets form a strip. If what its windows share occurs in no other context, none
+    of them does; if the whole strip occurs again, all of them do. Only strips of neither kind are cut
+    and looked at again, down to single windows; these are the few around the ends of a passage.
+    """
+    key, found = ["g", "c1", "c2"], []
+    parts = classes.select("*", F.lit(None).cast("array<int>").alias("lows"), F.lit(0).alias("wide"))
+    for width in STRIP_WIDTHS:
+        strips = stage(parts.mapInPandas(_strips(length, width), STRIPS), "strips")
+        total = F.sum("times").alias("n")
+        full = strips.groupBy("g", "low", "f1", "f2").agg(total).where("n > 1").drop("n")
+        shared = strips.groupBy("g", "low", "m1", "m2").agg(total).where("n > 1").drop("n")
+        found.append(strips.join(full, ["g", "low", "f1", "f2"], "left_semi").select(*key, "first", "last"))
+        if width == 1:
+            break
+        open_ = strips.join(shared, ["g", "low", "m1", "m2"], "left_semi").join(full, ["g", "low", "f1", "f2"], "left_anti")
+        open_ = stage(open_.select(*key, "low", "m1", "m2"), "open-strips")
+        # A strip that is settled may still hold windows of an open one: one of its contexts stays for that.
+        settled = strips.join(full, ["g", "low", "f1", "f2"], "left_semi").groupBy("g", "low", "m1", "m2", "f1", "f2")
+        partner = settled.agg(F.min(F.struct("c1", "c2")).alias("c")).join(
+            open_.select("g", "low", "m1", "m2").distinct(), ["g", "low", "m1", "m2"], "left_semi"
+        )
+        again = open_.select(*key, "low").unionAll(partner.select("g", "c.c1", "c.c2", "low"))
+        lows = stage(again.groupBy(*key).agg(F.collect_set("low").alias("lows")), "next-strips")
+        if lows.isEmpty():
+            break
+        parts = classes.join(lows, key).withColumn("wide", F.lit(width))
+    runs = found[0]
+    for more in found[1:]:
+        runs = runs.unionAll(more)
+    return runs.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -397,7 +420,10 @@ def remove_repeats(
     sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("times").alias("n")).where("n > 1")
     sized = classes.join(sizes.select("g", "m"), "g")
     few = sized.where(F.col("m") <= gathered).drop("m").repartition("g").sortWithinPartitions("g")
-    runs = few.mapInPandas(_comparer(length), RUNS).unionByName(_crowded(sized.where(F.col("m") > gathered).drop("m"), length))
+    runs = few.mapInPandas(_comparer(length), RUNS)
+    if not sizes.where(F.col("m") > gathered).isEmpty():
+        crowded = stage(sized.where(F.col("m") > gathered).drop("m"), "crowded")
+        runs = runs.unionByName(_crowded(crowded, length))
     runs = stage(runs, "repeat-runs")
     starts = (
         places.select(*key, "place", "off", "g", "c1", "c2")
