@@ -39,8 +39,8 @@ STOP = 0x110000
 PACKED = 3
 SHIFT = np.uint64(21)
 # Units remembered by a task, and characters indexed at once.
-CACHE = 600_000
-JOINED = 1 << 20
+CACHE = 400_000
+JOINED = 1 << 18
 NONE = np.iinfo(np.int32).max
 
 
