@@ -292,6 +292,29 @@ def test_train_score_save_and_load(spark, tmp_path):
     assert run["params"]["rounds"] == "5" and run["n_train"] == n and run["metrics"]["roc_auc"] > 0.95
 
 
+def test_training_keeps_the_round_of_least_validation_loss(spark):
+    from tidewatch.catalog import models
+
+    assert models.PARAMS == training.BoostingParams() and (models.PARAMS.rounds, models.PARAMS.depth, models.PARAMS.rate) == (300, 6, 0.05)
+    assert training.best_round([5, 3, 4, 4, 1], 2) == 2 and training.best_round([5, 3, 4, 4, 1], 3) == 5 and training.best_round([3, 2, 2], 9) == 2
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "tenure": rng.integers(0, 72, n).astype(float)})
+    # Half of the labels are noise, so later rounds only learn the training rows by heart.
+    pdf["Churn"] = np.where(rng.random(n) < 0.5, pdf.tenure < 24, rng.random(n) < 0.5).astype(int)
+    rows = training.hold_out(spark.createDataFrame(pdf), ["id"], 0.3)
+    fitted = prepare.fit(rows, ["tenure"], [])
+    params = training.BoostingParams(rounds=25, depth=4, rate=0.5, patience=25)
+    model = training.train(rows, fitted, "Churn", params, validation="is_validation")
+    kept = training.rounds_kept(model)
+    every = training.train(rows.where("not is_validation"), fitted, "Churn", params)
+    watched = every.stages[1].transform(every.stages[0].transform(rows.where("is_validation"))).withColumns({"_label": F.col("Churn").cast("double"), "_weight": F.lit(1.0)})
+    losses = every.stages[2].evaluateEachIteration(watched)
+    assert len(losses) == 25 and kept == int(np.argmin(losses)) + 1 < 25
+    again = model.stages[2].evaluateEachIteration(watched)
+    assert np.allclose(again, losses[:kept])
+
+
 def test_append_refuses_incomplete_records(spark, tmp_path):
     from pyspark.errors import PySparkException
 

@@ -10,7 +10,7 @@ from tidewatch.plans import assembly, promotion, training
 
 QUERIES = Registry()
 
-PARAMS = training.BoostingParams(rounds=8, depth=4, rate=0.3)
+PARAMS = training.BoostingParams()
 NUMBERS = ["o_totalprice", "day"]
 CATEGORIES = ["o_orderpriority", "c_mktsegment"]
 TARGET = "is_open"
@@ -44,7 +44,7 @@ def train_and_evaluate(spark, sf):
     scored = training.score(model, rows.where("split = 'test'"))
     summary = assembly.split_summary(rows.withColumn("from_feedback", F.lit(False)), TARGET)
     out = training.run_summary(
-        metrics.evaluate(scored, TARGET, "probability"), summary, PARAMS, preparation.feature_names, "v1"
+        metrics.evaluate(scored, TARGET, "probability"), summary, PARAMS, preparation.feature_names, "v1", training.rounds_kept(model)
     )
     listed = [F.array_join(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat_ws("=", k, F.col(c)[k].cast("string"))), ";").alias(c) for c in ("params", "metrics")]
     return out.select("model_version", *listed, F.array_join("features", ";").alias("features"), *[c for c in out.columns if c.startswith("n_")])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
 from tidewatch.operators.prepare import Preparation
+from tidewatch.session import shared_path
 from tidewatch.sources import tables
 
 VECTOR = "prepared_vector"
@@ -28,7 +30,7 @@ class BoostingParams:
     row_share: float = 0.8
     column_share: float = 0.8
     positive_weight: float = 3.0
-    tolerance: float = 0.01
+    patience: int = 20
     seed: int = 42
 
 
@@ -41,9 +43,14 @@ def train(
 ) -> PipelineModel:
     """Fit preparation and model as one pipeline, so that they are saved and applied together.
 
-    `validation` names a boolean column; its rows only decide when to stop adding trees, so the test
-    rows stay unseen. Positive rows carry the weight.
+    `validation` names a boolean column; its rows only decide which round is kept, so the test rows stay
+    unseen: the one of least unweighted log loss before `patience` rounds brought no gain. Positive rows
+    carry the weight.
     """
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        # Each round builds on the one before; the plan is cut every ten rounds only if there is a folder for it.
+        sc.setCheckpointDir(shared_path(rows.sparkSession, "rounds"))
     booster = GBTClassifier(
         featuresCol=VECTOR,
         labelCol="_label",
@@ -54,12 +61,9 @@ def train(
         stepSize=params.rate,
         subsamplingRate=params.row_share,
         featureSubsetStrategy=str(params.column_share),
-        validationTol=params.tolerance,
         seed=params.seed,
     )
     booster = booster.setRawPredictionCol("raw_prediction").setProbabilityCol("class_probability")
-    if validation:
-        booster = booster.setValidationIndicatorCol(validation)
     y = F.col(target).cast("double")
     weighted = rows.withColumns(
         {"_label": y, "_weight": F.when(y == 1, params.positive_weight).otherwise(1.0)}
@@ -72,7 +76,44 @@ def train(
             booster,
         ]
     )
-    return pipeline.fit(weighted)
+    if not validation:
+        return pipeline.fit(weighted)
+    fitted = pipeline.fit(weighted.where(~F.col(validation)))
+    *before, boosted = fitted.stages
+    watched = PipelineModel(before).transform(weighted.where(validation).withColumn("_weight", F.lit(1.0)))
+    if watched.isEmpty():
+        return fitted
+    kept = best_round(boosted.evaluateEachIteration(watched), params.patience)
+    return PipelineModel([*before, _first_rounds(boosted, kept)])
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The 1-based round of least loss, looking no further than `patience` rounds without gain."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def rounds_kept(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
+def _first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model without its later trees; Spark has no setting for that."""
+    java = model._java_obj
+    cut = model.__class__(
+        SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures(), java.numClasses()
+        )
+    )
+    cut._resetUid(model.uid)
+    model._copyValues(cut)
+    cut._transfer_params_to_java()
+    return cut
 
 
 def hold_out(rows: DataFrame, key: Sequence[str], share: float = 0.1, seed: int = 7, name: str = "is_validation") -> DataFrame:
@@ -126,10 +167,11 @@ def to_log(
 
 
 def run_summary(
-    evaluated: DataFrame, summary: DataFrame, params: BoostingParams, features: Sequence[str], version: str
+    evaluated: DataFrame, summary: DataFrame, params: BoostingParams, features: Sequence[str], version: str, kept: int | None = None
 ) -> DataFrame:
-    """One row per training run: parameters, metrics, feature names and row counts."""
-    listed = [x for k, v in vars(params).items() for x in (F.lit(k), F.lit(str(v)))]
+    """One row per training run: parameters, the number of rounds kept, metrics, feature names and row counts."""
+    noted = vars(params) | ({} if kept is None else {"rounds_kept": kept})
+    listed = [x for k, v in noted.items() for x in (F.lit(k), F.lit(str(v)))]
     names = [x for name in metrics.METRIC_NAMES for x in (F.lit(name), F.col(name).cast("double"))]
     counts = summary.first().asDict()
     return evaluated.select(
