@@ -311,6 +311,27 @@ def test_prepare(spark):
     assert again == fitted
 
 
+def test_sparse_preparation_equals_the_projection_and_takes_any_number_of_categories(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from tidewatch.plans import training
+
+    train = spark.createDataFrame([(1, 1.0, "b", "x"), (2, None, "a", None), (3, 5.0, None, "y"), (4, 2.0, "c's", "x")], "id int, n double, c string, d string")
+    dense, sparse = prepare.fit(train, ["n"], ["c", "d"]), prepare.fit_sparse(train, ["n"], ["c", "d"], rows_per_task=2)
+    other = train.union(spark.createDataFrame([(5, 9.0, "new", "missing")], train.schema))
+    assert [r["name"] for r in sparse.names().orderBy("position").collect()] == dense.feature_names and sparse.width == len(dense.feature_names)
+    training.SparseFeatures(sparse).write().save(str(tmp_path / "stage"))
+    want = [list(r)[1:] for r in dense.transform(other, ["id"]).orderBy("id").collect()]
+    for stage in (training.SparseFeatures(sparse), training.SparseFeatures.load(str(tmp_path / "stage"))):
+        got = stage.transform(other).orderBy("id").select(vector_to_array("prepared_vector")).collect()
+        assert [list(r[0]) for r in got] == want
+
+    many = spark.range(30_000).select(F.concat(F.lit("w"), "id").alias("c"))
+    fitted = prepare.fit_sparse(many, [], ["c"], rows_per_task=1_000)
+    assert fitted.width == 29_999
+    places = fitted.transform(many.union(many), "v").select(F.udf(lambda v: int(v.indices[0]) if len(v.indices) else -1, "int")("v").alias("i"))
+    assert places.distinct().count() == 30_000 and places.agg(F.max("i")).first()[0] == 29_998
+
+
 def test_prepare_constant_column_and_many_categories(spark):
     assert prepare.fit(spark.createDataFrame([(5.0,), (5.0,)], "n double"), ["n"], []).numbers["n"].scale == 1.0
     fitted = prepare.fit(spark.range(12_000).select(F.col("id").cast("string").alias("c")), [], ["c"])

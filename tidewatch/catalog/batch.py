@@ -636,7 +636,11 @@ UNION ALL SELECT 'c_nationkey', 'num', {r('mn', 'median')}, {r('an', 'mean')}, {
 UNION ALL SELECT 'c_mktsegment', 'cat', NULL, NULL, NULL, array_to_string(l, '|') FROM cats"""
 )
 def preparation_parameters(spark, sf):
-    params = prepare.fit_table(prep_source(spark, sf), ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
+    source = prep_source(spark, sf)
+    params = prepare.fit_table(source, ["c_acctbal", "c_nationkey"], [])
+    # The result lists a feature's categories in one cell; only here do they meet.
+    listed = prepare.fit_lookup(source, ["c_mktsegment"]).groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("categories"))
+    params = params.unionByName(listed.withColumn("kind", F.lit("cat")), allowMissingColumns=True)
     return tidy(params.withColumn("categories", F.array_join("categories", "|")))
 
 
@@ -646,12 +650,10 @@ def preparation_parameters(spark, sf):
 )
 def prepared_features(spark, sf):
     source = prep_source(spark, sf)
-    fitted = prepare.fit(source, ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
-    names = fitted.feature_names
-    out = fitted.transform(source, keep=["c_custkey"])
-    return tidy(
-        out.select("c_custkey", "c_acctbal", "c_nationkey", F.col(f"`{names[2]}`").alias("v2"), F.col(f"`{names[3]}`").alias("v3"))
-    )
+    fitted = prepare.fit_sparse(source, ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
+    found = fitted.indexed(source, "c_mktsegment", "_index")
+    shown = [F.coalesce((F.col("_index") == i).cast("double"), F.lit(0.0)).alias(name) for i, name in ((1, "v2"), (2, "v3"))]
+    return tidy(found.select("c_custkey", *fitted.prepared_numbers(), *shown))
 
 
 @QUERIES.add(

@@ -33,7 +33,7 @@ def fitted(spark, sf, numbers=NUMBERS, categories=CATEGORIES, params=PARAMS):
     """Split, prepare and train; returns the tagged rows and the model."""
     rows = split.stratified_split(order_rows(spark, sf), TARGET, KEY)
     train = training.hold_out(rows.where("split = 'train'"), KEY)
-    preparation = prepare.fit(train.where("not is_validation"), numbers, categories)
+    preparation = prepare.fit_sparse(train.where("not is_validation"), numbers, categories)
     return rows, preparation, training.train(train, preparation, TARGET, params, validation="is_validation")
 
 
@@ -44,7 +44,7 @@ def train_and_evaluate(spark, sf):
     scored = training.score(model, rows.where("split = 'test'"))
     summary = assembly.split_summary(rows.withColumn("from_feedback", F.lit(False)), TARGET)
     out = training.run_summary(
-        metrics.evaluate(scored, TARGET, "probability"), summary, PARAMS, preparation.feature_names, "v1", training.rounds_kept(model)
+        metrics.evaluate(scored, TARGET, "probability"), summary, PARAMS, preparation.names(), "v1", training.rounds_kept(model)
     )
     listed = [F.array_join(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat_ws("=", k, F.col(c)[k].cast("string"))), ";").alias(c) for c in ("params", "metrics")]
     return out.select("model_version", *listed, F.array_join("features", ";").alias("features"), *[c for c in out.columns if c.startswith("n_")])

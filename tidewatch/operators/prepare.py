@@ -1,10 +1,15 @@
-"""Feature preparation: fitted on one table, applied to any other as a projection."""
+"""Feature preparation: fitted on one table, applied to any other.
+
+`Preparation` holds short category lists and is a projection. `SparsePreparation` holds its categories as a
+written table of any size, looks values up by join and gives sparse vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +51,7 @@ class Preparation:
             for name, p in self.numbers.items()
         ]
         for name, values in self.categories.items():
-            filled = F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+            filled = _filled(name)
             out += [
                 F.when(filled == value, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{name}_{value}")
                 for value in values[1:]
@@ -94,6 +99,89 @@ class Preparation:
         )
 
 
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+
+
+@dataclass(frozen=True)
+class SparsePreparation:
+    """Numbers as in `Preparation`; categories as a table (feature, value, index), of which only the sizes are known here."""
+
+    numbers: dict[str, NumberParams]
+    lookup: DataFrame
+    sizes: dict[str, int]
+
+    @property
+    def width(self) -> int:
+        return len(self.numbers) + sum(max(0, n - 1) for n in self.sizes.values())
+
+    def names(self) -> DataFrame:
+        """(position, name) of every feature of the vector."""
+        spark = self.lookup.sparkSession
+        out = spark.createDataFrame(list(enumerate(self.numbers)), "position long, name string")
+        for name, offset in self._offsets().items():
+            of = self.lookup.where((F.col("feature") == name) & (F.col("index") > 0))
+            out = out.unionByName(of.select((F.col("index") + offset).alias("position"), F.concat(F.lit(f"{name}_"), "value").alias("name")))
+        return out
+
+    def _offsets(self) -> dict[str, int]:
+        """What turns an index above 0 into a place in the vector."""
+        out, at = {}, len(self.numbers)
+        for name, n in self.sizes.items():
+            out[name] = at - 1
+            at += max(0, n - 1)
+        return out
+
+    def indexed(self, df: DataFrame, name: str, to: str) -> DataFrame:
+        """Add the 0-based index of a feature's category, null where the category is unknown."""
+        value, key = f"_value_{to}", f"_key_{to}"
+        of = self.lookup.where(F.col("feature") == name).select(F.col("value").alias(value), F.col("index").alias(to))
+        if self.sizes[name] <= order.BROADCAST_ROWS:
+            of = F.broadcast(of)
+        keyed = df.withColumn(key, _filled(name))
+        return keyed.join(of, F.col(key) == F.col(value), "left").drop(value, key)
+
+    def prepared_numbers(self) -> list[Column]:
+        return Preparation(self.numbers, {}).columns()
+
+    def transform(self, df: DataFrame, output: str) -> DataFrame:
+        """All columns of `df` and the features as one vector; the first category of a feature and unknown ones are zeros."""
+        columns, width, offsets = df.columns, self.width, self._offsets()
+        for i, name in enumerate(offsets):
+            df = self.indexed(df, name, f"_index_{i}")
+        places = [F.when(F.col(f"_index_{i}") > 0, F.col(f"_index_{i}") + offset) for i, offset in enumerate(offsets.values())]
+        empty = "array<long>"
+
+        @F.udf(VectorUDT())
+        def vector(numbers: list[float], ones: list[int]) -> SparseVector:
+            held = [(i, x) for i, x in enumerate(numbers) if x] + [(i, 1.0) for i in ones]
+            return Vectors.sparse(width, held)
+
+        given = F.array(*self.prepared_numbers()).cast("array<double>")
+        return df.select(*columns, vector(given, F.array_compact(F.array(*places).cast(empty))).alias(output))
+
+
+def fit_sparse(
+    train: DataFrame, numbers: Sequence[str], categories: Sequence[str], rows_per_task: int | None = None
+) -> SparsePreparation:
+    """Fit on `train`; the categories stay in a table, numbered in their order without one task per feature."""
+    known = Preparation.from_table(fit_table(train, numbers, [], rows_per_task), numbers, [])
+    lookup = fit_lookup(train, categories, rows_per_task)
+    counted = {r["feature"]: r["count"] for r in lookup.groupBy("feature").count().collect()}
+    return SparsePreparation(known.numbers, lookup, {c: counted.get(c, 0) for c in categories})
+
+
+def fit_lookup(train: DataFrame, categories: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+    """(feature, value, index): each distinct category with its place in the sorted order from 0, written once."""
+    shape = "feature string, value string, index long"
+    if not categories:
+        return train.sparkSession.createDataFrame([], shape)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _filled(c).alias("value")) for c in categories]))
+    distinct = stage(train.select(cells).distinct(), "categories")
+    ranked = order.rank_rows(distinct, ["feature"], ["value"], "_rank", rows_per_task)
+    return stage(ranked.select("feature", "value", (F.col("_rank") - 1).cast("long").alias("index")), "category-index")
+
+
 def fit(
     train: DataFrame, numbers: Sequence[str], categories: Sequence[str], rows_per_task: int | None = None
 ) -> Preparation:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
-from tidewatch.operators.prepare import Preparation
+from tidewatch.operators.prepare import NumberParams, Preparation, SparsePreparation
 from tidewatch.session import shared_path
 from tidewatch.sources import tables
 
@@ -34,9 +35,48 @@ class BoostingParams:
     seed: int = 42
 
 
+class SparseFeatures(Transformer, MLWritable, MLReadable):
+    """A sparse preparation as a stage; its table is saved with it."""
+
+    def __init__(self, preparation: SparsePreparation):
+        super().__init__()
+        self.preparation = preparation
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.preparation.transform(dataset, VECTOR)
+
+    def write(self) -> MLWriter:
+        return _SparseWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SparseReader()
+
+
+class _SparseWriter(MLWriter):
+    def __init__(self, stage: SparseFeatures):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        known = self.stage.preparation
+        extra = {"numbers": {k: asdict(v) for k, v in known.numbers.items()}, "sizes": known.sizes}
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession, extraMetadata=extra)
+        known.lookup.write.parquet(f"{path}/lookup")
+
+
+class _SparseReader(MLReader):
+    def load(self, path: str) -> SparseFeatures:
+        noted = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        numbers = {k: NumberParams(**v) for k, v in noted["numbers"].items()}
+        stage = SparseFeatures(SparsePreparation(numbers, self.sparkSession.read.parquet(f"{path}/lookup"), noted["sizes"]))
+        stage._resetUid(noted["uid"])
+        return stage
+
+
 def train(
     rows: DataFrame,
-    preparation: Preparation,
+    preparation: Preparation | SparsePreparation,
     target: str,
     params: BoostingParams = BoostingParams(),
     validation: str | None = None,
@@ -68,14 +108,12 @@ def train(
     weighted = rows.withColumns(
         {"_label": y, "_weight": F.when(y == 1, params.positive_weight).otherwise(1.0)}
     )
-    names = [f"prepared_{i}" for i in range(len(preparation.feature_names))]
-    pipeline = Pipeline(
-        stages=[
-            SQLTransformer(statement=preparation.sql()),
-            VectorAssembler(inputCols=names, outputCol=VECTOR),
-            booster,
-        ]
-    )
+    if isinstance(preparation, SparsePreparation):
+        prepared = [SparseFeatures(preparation)]
+    else:
+        names = [f"prepared_{i}" for i in range(len(preparation.feature_names))]
+        prepared = [SQLTransformer(statement=preparation.sql()), VectorAssembler(inputCols=names, outputCol=VECTOR)]
+    pipeline = Pipeline(stages=[*prepared, booster])
     if not validation:
         return pipeline.fit(weighted)
     fitted = pipeline.fit(weighted.where(~F.col(validation)))
@@ -167,17 +205,24 @@ def to_log(
 
 
 def run_summary(
-    evaluated: DataFrame, summary: DataFrame, params: BoostingParams, features: Sequence[str], version: str, kept: int | None = None
+    evaluated: DataFrame, summary: DataFrame, params: BoostingParams, features: Sequence[str] | DataFrame, version: str, kept: int | None = None
 ) -> DataFrame:
     """One row per training run: parameters, the number of rounds kept, metrics, feature names and row counts."""
     noted = vars(params) | ({} if kept is None else {"rounds_kept": kept})
     listed = [x for k, v in noted.items() for x in (F.lit(k), F.lit(str(v)))]
     names = [x for name in metrics.METRIC_NAMES for x in (F.lit(name), F.col(name).cast("double"))]
     counts = summary.first().asDict()
+    if isinstance(features, DataFrame):
+        # (position, name) rows; the names meet in the one cell that lists them, not on the driver.
+        pairs = F.sort_array(F.collect_list(F.struct("position", "name")))
+        evaluated = evaluated.crossJoin(features.agg(F.transform(pairs, lambda x: x["name"]).alias("_names")))
+        listed_names = F.col("_names")
+    else:
+        listed_names = F.array(*[F.lit(f) for f in features])
     return evaluated.select(
         F.lit(version).alias("model_version"),
         F.create_map(*listed).alias("params"),
         F.create_map(*names).alias("metrics"),
-        F.array(*[F.lit(f) for f in features]).alias("features"),
+        listed_names.alias("features"),
         *[F.lit(v).alias(k) for k, v in counts.items()],
     )
