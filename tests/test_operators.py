@@ -240,6 +240,28 @@ def test_cooldown_many_keys_and_one_hot_time(spark, rows_per_task):
         assert part.fired.tolist() == fire_brute(list(part.t), 7200)
 
 
+def test_cooldown_longer_than_a_bucket_meets_in_no_group(spark):
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.integers(0, 4_000, 3_000))
+    df = spark.createDataFrame([(None if t % 2 else "k", int(t), i) for i, t in enumerate(times)], "k string, s long, i long").withColumn("t", F.timestamp_seconds("s"))
+    earlier = spark.createDataFrame([("k", 1_000)], "k string, s long").select("k", F.timestamp_seconds("s").alias("last_fired"))
+    for seconds in (7, 350, 2_000):
+        want = []
+        for odd in (0, 1):
+            last = None if odd else 1_000
+            for i, t in enumerate(times):
+                if t % 2 == odd and (last is None or t - last >= seconds):
+                    want.append(i)
+                    last = t
+        out = cooldown.fire(df, "t", "i", seconds, ["k"], 100, earlier)
+        assert sorted(r["i"] for r in out.where("fired").collect()) == sorted(want)
+        assert out.count() == len(times)
+    # No group of Python rows is a whole key: the entry states come from joins.
+    rows = order.add_bucket(df.withColumns({"_t": F.unix_micros("t"), "_first": F.lit(cooldown._START)}), ["k"], ["_t"], order.measure(df, ["k"]), 100)
+    plan = cooldown._entries(rows, ["k"], 350_000_000, 100)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
 def test_cooldown_boundary(spark):
     rows = [(T0, 0), (T0 + dt.timedelta(seconds=3599), 1), (T0 + dt.timedelta(seconds=3600), 2)]
     df = spark.createDataFrame(rows, "t timestamp, i int")
