@@ -67,3 +67,24 @@ def test_a_table(spark):
     for r in rows:
         assert [m.license for m in r.matches] == (["ISC"] if r.doc.text and "Permission" in r.doc.text else [])
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.0.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 9.", []),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-short"]),
+        ("Licensed under CC BY-NC-ND 3.0.", ["CC-BY-NC-ND-3.0-short"]),
+        ("Licensed under CC0 1.0 Universal.", ["CC0-1.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+    ],
+)
+def test_version_and_variant_decide_between_relatives(text, want):
+    for before, after in (("", ""), ("words before it. ", " 17 words after it")):
+        assert [m[0] for m in licenses.find(INDEX, before + text + after)] == want
