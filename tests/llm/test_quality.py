@@ -69,3 +69,10 @@ def test_descent_reaches_the_hinge_optimum():
         return v @ v / 2 + np.maximum(0, 1 - sign * (np.array(values) @ v)).sum()
 
     assert all(loss(w) <= loss(w + d) + 1e-2 for d in rng.normal(scale=0.05, size=(200, 3)))
+
+
+def test_the_shape_of_a_long_word_rests_on_all_of_it():
+    start = "a" * 64
+    first, other = (quality._words[start + rest] >> 32 for rest in ("-1" * 40, "A." * 40))
+    assert first != other
+    assert quality._words[start + "b" * 5_000] >> 32 == quality._words["ab"] >> 32

@@ -66,7 +66,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        shape = zlib.crc32(_shape(word[:64]).encode("utf-8", "replace"))
+        shape = zlib.crc32(_shape(word).encode("utf-8", "replace"))
         code = self[word] = shape << 32 | zlib.crc32(word.lower().encode("utf-8", "replace"))
         return code
 
