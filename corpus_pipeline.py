@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import exact, packing, quality, secrets, simhash
 from tidewatch.llm.common import ready, table
-from tidewatch.session import shared_path, stage
+from tidewatch.session import lasting_path, stage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; no document goes."""
-    return secrets.redacted(docs, shared_path(spark, "blob-ledger"))
+    return secrets.redacted(docs, lasting_path(spark, "blob-ledger"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,19 @@ def test_redaction_keeps_rows_and_columns(spark, tmp_path, n):
     if n:
         assert rows[3] == "secret: short then passwd=1234567 [removed]" and rows[0] is None
         assert rows[7] == "[removed]"
+
+
+def test_registered_runs_and_the_pipeline_share_one_ledger(spark):
+    import corpus_pipeline
+    from tidewatch.llm.queries import op1_secret_scan
+    from tidewatch.session import lasting_path, shared_dir
+
+    where = lasting_path(spark, "blob-ledger")
+    assert where.startswith(shared_dir(spark)) and spark.sparkContext.applicationId not in where
+    sf = "/root/testdata/sf0.001"
+    first = sorted(op1_secret_scan(spark, sf).collect())
+    scanned = secrets.read_ledger(spark, where).count()
+    assert scanned > 0 and sorted(op1_secret_scan(spark, sf).collect()) == first
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline.without_secrets(spark, docs, sf).count()
+    assert secrets.read_ledger(spark, where).count() == scanned

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import Registry
 from tidewatch.llm import exact, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
 from tidewatch.llm.common import table
-from tidewatch.session import shared_path
+from tidewatch.session import lasting_path
 
 QUERIES = Registry()
 
@@ -40,7 +40,7 @@ FROM documents d LEFT JOIN summed USING (doc_id)"""
 )
 def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, shared_path(spark, "blob-ledger"))
+    found = secrets.scan(docs, lasting_path(spark, "blob-ledger"))
     spans = secrets.as_text(F.col("found"))
     return found.select(
         "doc.doc_id",

@@ -13,6 +13,7 @@ repeated rows each get their findings; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -75,7 +76,7 @@ def _scanner(rules: Sequence[Rule]):
 def read_ledger(spark, path: str) -> DataFrame:
     """What has been scanned so far; a folder that does not exist yet is an empty ledger."""
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(LEDGER).parquet(path).drop("scan")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -83,20 +84,21 @@ def read_ledger(spark, path: str) -> DataFrame:
 
 
 def update_ledger(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> None:
-    """Scan what is unseen among `versions` (blob, content) and append it to the ledger."""
+    """Scan what is unseen among `versions` (blob, content) and append it to the ledger, in a folder of its own, as others may scan too."""
     pair = F.struct(F.col("kind"), F.col("version"))
     seen = read_ledger(versions.sparkSession, ledger).groupBy("blob").agg(F.collect_set(pair).alias("seen"))
     wanted = F.array(
         *[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]
     )
     unseen = (
-        versions.distinct()
+        # One row per blob, dealt by blob only: the join needs no second shuffle of the contents.
+        versions.groupBy("blob").agg(F.first("content").alias("content"))
         .join(seen, "blob", "left")
         .withColumn("due", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>"))))
         .where(F.size("due") > 0)
         .select("blob", "content", "due")
     )
-    unseen.mapInPandas(_scanner(rules), LEDGER).write.mode("append").parquet(ledger)
+    unseen.mapInPandas(_scanner(rules), LEDGER).write.parquet(f"{ledger}/scan={uuid.uuid4().hex}")
 
 
 def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -74,6 +74,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """The path of a table that later applications go on with; `discard_staged` leaves it."""
+    return f"{shared_dir(spark)}/tidewatch/{name}"
+
+
 def discard_staged(spark: SparkSession) -> bool:
     """Delete what this application staged. Only once no frame built on it is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
