@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import exact, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
+from tidewatch.llm import codebooks, exact, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
 from tidewatch.llm.common import table
 from tidewatch.session import lasting_path
 
@@ -146,3 +146,43 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
         F.round(best["coverage"], 4).alias("coverage"),
         F.concat_ws(",", spans).alias("spans"),
     )
+
+
+def _codebook_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Rounds of assigning and averaging written out one after the other."""
+
+    def assigned(book: str) -> str:
+        away = "list_sum(list_transform(list_zip(p.part, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""(SELECT r, pos, first(part) AS part, min(d) AS d, arg_min(e, d * 16 + e) AS e
+  FROM (SELECT p.r, p.pos, p.part, b.e, CAST({away} AS BIGINT) AS d FROM p JOIN {book} b USING (pos)) GROUP BY r, pos)"""
+
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """p AS MATERIALIZED (
+  SELECT r, pos, w[pos * (len(w) // 8) + 1 : (pos + 1) * (len(w) // 8)] AS part
+  FROM (SELECT *, unnest(range(8)) AS pos FROM v))""",
+        "b0 AS MATERIALIZED (SELECT pos, r - 1 AS e, part AS c FROM p WHERE r <= 16)",
+    ]
+    for n in range(1, rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED {assigned(f'b{n - 1}')}")
+        steps.append(f"""m{n} AS MATERIALIZED (
+  SELECT pos, e, list(mean ORDER BY at) AS c
+  FROM (SELECT pos, e, at, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+        FROM (SELECT pos, e, unnest(part) AS x, generate_subscripts(part, 1) AS at FROM a{n}) GROUP BY pos, e, at) GROUP BY pos, e)""")
+        steps.append(f"""b{n} AS MATERIALIZED (
+  SELECT pos, e, coalesce(m.c, b.c) AS c FROM b{n - 1} b LEFT JOIN m{n} m USING (pos, e))""")
+    steps.append(f"f AS MATERIALIZED {assigned(f'b{rounds}')}")
+    steps.append("""coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r)""")
+    steps.append(f"sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM b{rounds})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (r), sha"""
+
+
+@QUERIES.add(_codebook_sql())
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf, "embeddings"))
