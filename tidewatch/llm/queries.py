@@ -169,9 +169,9 @@ def _codebook_sql(rounds: int = codebooks.ROUNDS) -> str:
     for n in range(1, rounds + 1):
         steps.append(f"a{n} AS MATERIALIZED {assigned(f'b{n - 1}')}")
         steps.append(f"""m{n} AS MATERIALIZED (
-  SELECT pos, e, list(mean ORDER BY at) AS c
-  FROM (SELECT pos, e, at, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean
-        FROM (SELECT pos, e, unnest(part) AS x, generate_subscripts(part, 1) AS at FROM a{n}) GROUP BY pos, e, at) GROUP BY pos, e)""")
+  SELECT pos, e, list(mean ORDER BY place) AS c
+  FROM (SELECT pos, e, place, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+        FROM (SELECT pos, e, unnest(part) AS x, generate_subscripts(part, 1) AS place FROM a{n}) GROUP BY pos, e, place) GROUP BY pos, e)""")
         steps.append(f"""b{n} AS MATERIALIZED (
   SELECT pos, e, coalesce(m.c, b.c) AS c FROM b{n - 1} b LEFT JOIN m{n} m USING (pos, e))""")
     steps.append(f"f AS MATERIALIZED {assigned(f'b{rounds}')}")
