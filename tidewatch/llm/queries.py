@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import codebooks, exact, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
+from tidewatch.llm import codebooks, exact, graphs, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
 from tidewatch.llm.common import table
 from tidewatch.session import lasting_path
 
@@ -186,3 +186,9 @@ FROM coded JOIN v USING (r), sha"""
 @QUERIES.add(_codebook_sql())
 def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return codebooks.compress(table(spark, sf, "embeddings"))
+
+
+@QUERIES.add()
+def op12_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return graphs.nearest(graphs.index(vectors), vectors.where("vec_id % 100 = 0"))
