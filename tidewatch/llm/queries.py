@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Registry
-from tidewatch.llm import codebooks, exact, graphs, licenses, lines, packing, pieces, quality, secrets, simhash, substrings, topk
+from tidewatch.llm import (
+    alignment,
+    codebooks,
+    exact,
+    graphs,
+    licenses,
+    lines,
+    packing,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+    substrings,
+    topk,
+)
 from tidewatch.llm.common import table
 from tidewatch.session import lasting_path
 
@@ -192,3 +206,8 @@ def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 def op12_nearest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return graphs.nearest(graphs.index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+@QUERIES.add()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.measure(table(spark, sf, "documents"))
