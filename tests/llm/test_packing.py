@@ -17,7 +17,6 @@ WINDOW = 64
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -50,7 +49,7 @@ def test_squares_find_an_exact_solution():
 
 
 def test_every_id_lies_in_one_piece(spark, reference):
-    docs = with_repeats(spark, [*sample_texts(), "<|endoftext|> as text", *(["same short text"] * 300)])
+    docs = with_repeats(spark, [*sample_texts(), "<|endoftext|> x", "a<|endoftext|><|endoftext|>  b", *(["same short text"] * 300)])
     found = packing.pieces(docs, window=WINDOW, keep_ids=True)
     out = packing.pack(found, WINDOW).collect()
     ids = defaultdict(list)
@@ -76,5 +75,14 @@ def test_every_id_lies_in_one_piece(spark, reference):
     assert sum(r.tokens for r in rows) == total and all(len(r.ids) in (WINDOW, r.tokens) for r in rows)
 
 
+def test_very_long_white_space(spark, reference):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, ("x" + " " * 30_000) * 3, "ab" * 100_000 + "<|endoftext|>"]
+    found = {r.doc_id: r for r in packing.pieces(frame(spark, texts)).where("start = 0").collect()}
+    for i, text in enumerate(texts):
+        ids = reference(text)
+        assert found[i].doc_tokens == len(ids)
+        assert found[i].ids_crc32 == zlib.crc32(np.array(ids[: packing.WINDOW], "<u4").tobytes())
+
+
 def test_empty_table(spark):
     assert packing.pack(packing.pieces(frame(spark, []))).count() == 0

@@ -7,7 +7,7 @@ import pytest
 from brute import words
 
 import corpus_pipeline
-from tidewatch.llm import packing, quality, secrets, simhash
+from tidewatch.llm import packing, quality, secrets, simhash, tokens
 
 
 def corpus():
@@ -65,7 +65,7 @@ def test_the_whole_pipeline_equals_its_stages_by_hand(spark, tables):
     root = near_classes(left)
     left = [(i, t) for i, t in left if root[i] == i]
     want = {}
-    encode = packing.encoding(open(packing.public_tokenizers.path(packing.VOCABULARY), "rb").read()).encode_ordinary
+    encode = tokens.byte_tokenizer(tokens.read(tokens.BYTES)).encode
     for i, t in left:
         spans = sorted(s for rule in secrets.RULES for s in secrets.find(rule, t))
         for s, e in reversed(spans):

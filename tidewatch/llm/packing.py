@@ -16,7 +16,6 @@ rows are packed once each; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm import tokens
 from tidewatch.llm.common import text_or_empty
 from tidewatch.session import stage
 
@@ -36,38 +35,20 @@ WINDOW = 2048
 END = 1
 DEPTH = 3
 ROUNDS = 60
-VOCABULARY = "byte_bpe_50k.tiktoken"
-
-_encodings: dict[int, tiktoken.Encoding] = {}
-
-
-def encoding(ranks: bytes) -> tiktoken.Encoding:
-    """The byte-level tokenizer of a vocabulary file's content, built once per worker."""
-    key = zlib.crc32(ranks)
-    if key not in _encodings:
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        _encodings[key] = tiktoken.Encoding(
-            "corpus",
-            pat_str=public_tokenizers.PATTERN,
-            mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs},
-            special_tokens={},
-        )
-    return _encodings[key]
-
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Token pieces of all documents, staged: PIECES, and `ids` (little-endian 32-bit) if asked for.
 
-    `place` counts the pieces of the same length before it in its partition.
+    `vocabulary` is the path of a byte-level file of the tokenizers library; strings of its added tokens in a
+    text become their ids, as that library has it. `place` counts the pieces of the same length before it in its partition.
     """
-    with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as file:
+    with open(vocabulary or public_tokenizers.path(tokens.BYTES), "rb") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(sent.value).encode_ordinary
+        encode = tokens.byte_tokenizer(sent.value).encode
         part, placed = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             out = []
