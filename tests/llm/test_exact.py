@@ -34,6 +34,21 @@ def test_groups(spark, block):
     assert kept.columns == docs.columns and kept.count() == len(members)
 
 
+def test_of_repeated_rows_the_same_stays_in_every_run(spark):
+    rows = [(1, "same text", n, {"k": n}) for n in range(40)]
+    kept = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, place long, more map<string,int>").repartition(parts, "place")
+        kept.add(exact.deduplicate(docs).first()["place"])
+    assert len(kept) == 1
+
+
+def test_long_text_without_white_space(spark):
+    text = "é" * 200_000
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.groups(frame(spark, [text, text[:-1], text + " "])).collect()}
+    assert got == {0: (2, 2), 1: (1, 1), 2: (2, 2)}
+
+
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert exact.groups(docs).count() == 0 and exact.deduplicate(docs).count() == 0

@@ -72,12 +72,21 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
+def _rest_hash(docs: DataFrame) -> Column:
+    """Tells rows of equal doc_id and text apart by their other columns, as far as Spark can hash these."""
+    rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text")]
+    hashable = [c for c in rest if not any(t in docs.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(F.lit(0), *[F.col(f"doc.`{c}`") for c in hashable])
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of `docs` whose (doc_id, row hash) is in `kept`, once each, with their own columns.
 
-    `kept` has the columns doc_id and _h, without repeats. Columns of `docs` may have any names.
+    `kept` has the columns doc_id and _h, without repeats. Columns of `docs` may have any names. Of rows that
+    agree in doc_id and text the one with the least hash of its other columns stays, in every run.
     """
     keys = kept.select(F.col("doc_id").alias("keep_id"), F.col("_h").alias("keep_h"))
-    rows = packed(docs).select("doc", F.col("doc.doc_id"), row_hash("doc.text").alias("h"))
+    rows = packed(docs).select("doc", F.col("doc.doc_id"), row_hash("doc.text").alias("h"), _rest_hash(docs).alias("rest"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
-    return rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "h"]).select("doc.*")
+    once = rows.join(keys, same, "left_semi").groupBy("doc_id", "h").agg(F.min_by("doc", "rest").alias("doc"))
+    return once.select("doc.*")

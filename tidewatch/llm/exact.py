@@ -1,6 +1,6 @@
 """Exact duplicates by deterministic block naming, with DataFrame functions only.
 
-A text without white space is cut into blocks of a fixed size. The distinct blocks of all documents are
+A text without white space is cut into blocks of a fixed number of bytes. The distinct blocks of all documents are
 sorted into integer names; then the names of adjacent blocks are paired, the distinct pairs are sorted
 into names again, and so on until each document has one name. Equal names at equal depth mean equal
 texts, and unequal names unequal texts: there is nothing left to chance.
@@ -29,10 +29,14 @@ def normalised() -> Column:
     return F.regexp_replace(text_or_empty(), r"[\x20\x09-\x0D]", "")
 
 
-def blocks_of(text: Column, block: int) -> Column:
-    """Fixed-size blocks of a text, in one pass over it; an empty text has one empty block."""
-    found = F.regexp_extract_all(text, F.lit(rf"([\s\S]{{1,{block}}})"), F.lit(1))
-    return F.when(text == "", F.array(F.lit(""))).otherwise(found)
+def blocks_of(raw: Column, block: int) -> Column:
+    """Fixed-size blocks of a text's bytes; an empty text has one empty block.
+
+    `raw` must be a binary column of an earlier projection: a slice of bytes is taken by its place, while a
+    string would be walked through, and an expression worked out anew, for every block.
+    """
+    last = F.greatest(F.ceil(F.octet_length(raw) / block), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
 
 
 def _hashed(block: Column, seed: int) -> Column:
@@ -43,7 +47,7 @@ def _hashed(block: Column, seed: int) -> Column:
 
 def block_names(docs: DataFrame, block: int) -> tuple[DataFrame, int]:
     """Names of all distinct blocks, and the seed whose hashes tell them apart."""
-    pieces = docs.select(normalised().alias("bare")).select(F.explode(blocks_of(F.col("bare"), block)).alias("block"))
+    pieces = docs.select(normalised().cast("binary").alias("bare")).select(F.explode(blocks_of(F.col("bare"), block)).alias("block"))
     for seed in range(SEED_PAIRS):
         distinct = pieces.withColumn("h", _hashed(F.col("block"), seed)).select("h.h1", "h.h2", "block").distinct()
         hashes = stage(distinct.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("blocks")), "blocks")
@@ -63,7 +67,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "doc_id",
         row_hash().alias("_h"),
         F.char_length(text_or_empty()).alias("points"),
-        normalised().alias("bare"),
+        normalised().cast("binary").alias("bare"),
     )
     rows = stage(
         given.select(
