@@ -296,7 +296,6 @@ def test_training_keeps_the_round_of_least_validation_loss(spark):
     from tidewatch.catalog import models
 
     assert models.PARAMS == training.BoostingParams() and (models.PARAMS.rounds, models.PARAMS.depth, models.PARAMS.rate) == (300, 6, 0.05)
-    assert training.best_round([5, 3, 4, 4, 1], 2) == 2 and training.best_round([5, 3, 4, 4, 1], 3) == 5 and training.best_round([3, 2, 2], 9) == 2
     rng = np.random.default_rng(4)
     n = 400
     pdf = pd.DataFrame({"id": np.arange(n), "tenure": rng.integers(0, 72, n).astype(float)})
@@ -304,17 +303,134 @@ def test_training_keeps_the_round_of_least_validation_loss(spark):
     pdf["Churn"] = np.where(rng.random(n) < 0.5, pdf.tenure < 24, rng.random(n) < 0.5).astype(int)
     rows = training.hold_out(spark.createDataFrame(pdf), ["id"], 0.3)
     fitted = prepare.fit(rows, ["tenure"], [])
-    params = training.BoostingParams(rounds=25, depth=4, rate=0.5, patience=25)
+    # All rows and columns, as the two trainings number their rows differently.
+    params = training.BoostingParams(rounds=25, depth=4, rate=0.5, patience=25, row_share=1.0, column_share=1.0)
     model = training.train(rows, fitted, "Churn", params, validation="is_validation")
     kept = training.rounds_kept(model)
     every = training.train(rows.where("not is_validation"), fitted, "Churn", params)
-    watched = every.stages[1].transform(every.stages[0].transform(rows.where("is_validation"))).withColumns({"_label": F.col("Churn").cast("double"), "_weight": F.lit(1.0)})
+    watched = every.stages[1].transform(every.stages[0].transform(rows.where("is_validation"))).withColumn("label", F.col("Churn").cast("double"))
     losses = every.stages[2].evaluateEachIteration(watched)
     assert len(losses) == 25 and kept == int(np.argmin(losses)) + 1 < 25
     again = model.stages[2].evaluateEachIteration(watched)
     assert np.allclose(again, losses[:kept])
 
 
+def test_training_stops_when_patience_is_over(spark, monkeypatch):
+    from tidewatch.plans import boosting
+
+    grown = []
+    grow = boosting._grow
+    monkeypatch.setattr(boosting, "TASK_ROWS", 50)
+    monkeypatch.setattr(boosting, "_grow", lambda *given: grown.append(1) or grow(*given))
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"number_0": rng.random(200), "y": rng.integers(0, 2, 200), "w": np.arange(200) % 3 == 0})
+    params = training.BoostingParams(rounds=300, depth=2, rate=0.5, patience=4)
+    found = boosting.fit(spark.createDataFrame(pdf), ["number_0"], {}, params, "y", "w")
+    best = int(np.argmin(found.losses))
+    # One loss before the first tree, and one behind each tree that was grown.
+    assert len(grown) == len(found.losses) - 1 == best + 4 and len(found.trees) == max(best, 1)
+
+
+def plain_boosting(x, codes, y, weight, rounds, depth, rate):
+    """The same trees over whole rows on one machine: every threshold and category is tried by masks."""
+    raw = np.zeros(len(y))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = weight * (p - y), weight * p * (1 - p)
+
+        def leaf(rows):
+            return -rate * g[rows].sum() / (h[rows].sum() + 1.0)
+
+        def grow(rows, level):
+            best = (1e-6, None)
+            for column in range(x.shape[1]):
+                value = x[:, column]
+                for cut in np.unique(value[~np.isnan(value)]):
+                    for with_missing in (False, True):
+                        best = better(best, rows, (value <= cut) | (np.isnan(value) & with_missing))
+            for column in range(codes.shape[1]):
+                for code in range(1, codes[:, column].max() + 1):
+                    best = better(best, rows, codes[:, column] != code)
+            if level == depth or best[1] is None:
+                raw[rows] += leaf(rows)
+                return
+            grow(rows & best[1], level + 1)
+            grow(rows & ~best[1], level + 1)
+
+        def better(best, rows, left):
+            sides = rows & left, rows & ~left
+            if min(h[s].sum() for s in sides) < 1.0:
+                return best
+            score = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1.0)
+            gain = (score(sides[0]) + score(sides[1]) - score(rows)) / 2
+            return (gain, left) if gain > best[0] * (1 + 1e-8) else best
+
+        before = raw.copy()
+        grow(np.ones(len(y), bool), 0)
+        assert not np.allclose(before, raw)
+    return raw
+
+
+@pytest.mark.parametrize("task_rows", [1 << 17, 100])
+def test_boosting_equals_a_plain_version(spark, monkeypatch, task_rows):
+    from tidewatch.plans import boosting
+
+    monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
+
+    rng = np.random.default_rng(8)
+    n = 240
+    x = np.stack([rng.integers(0, 40, n).astype(float), rng.normal(size=n).round(1)], axis=1)
+    x[rng.random(n) < 0.2, 0] = np.nan
+    codes = np.stack([rng.integers(0, 5, n), rng.integers(-1, 3, n)], axis=1)
+    y = ((np.nan_to_num(x[:, 0], nan=30.0) < 15) ^ (codes[:, 0] == 2) | (rng.random(n) < 0.1)).astype(int)
+    rows = [
+        (None if np.isnan(a) else float(a), float(b), int(c), None if d < 0 else int(d), int(t))
+        for (a, b), (c, d), t in zip(x, codes, y)
+    ]
+    frame = spark.createDataFrame(rows, "a double, b double, c int, d int, y int").repartition(3)
+    params = training.BoostingParams(rounds=13, depth=3, rate=0.3, row_share=1.0, column_share=1.0)
+    found = boosting.fit(frame, ["a", "b"], {"c": 5, "d": 3}, params, "y")
+    cuts = found.layout.cuts
+    bins = np.stack([np.where(np.isnan(v), -1, np.searchsorted(c, v)) for v, c in zip(x.T, cuts)] + list(codes.T), axis=1)
+    assert len(found.trees) == 13 and any(t.missing_left.any() for t in found.trees)
+    assert np.allclose(found.raw(bins), plain_boosting(x, codes, y, np.where(y == 1, 3.0, 1.0), 13, 3, 0.3), atol=1e-9)
+
+    # The Spark model gives the same scores; its vectors have no missing places.
+    there = ~np.isnan(x[:, 0])
+    one_hot = [(codes[:, 0] == v) for v in range(1, 5)] + [(codes[:, 1] == v) for v in (1, 2)]
+    vectors = np.concatenate([x, np.stack(one_hot, axis=1)], axis=1)[there]
+    model = found.as_spark(spark)
+    listed = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "i int, v array<double>")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    given = listed.select("i", array_to_vector("v").alias("features"))
+    p = [r[0] for r in model.transform(given).orderBy("i").select(vector_to_array("probability")[1]).collect()]
+    assert np.allclose(p, 1 / (1 + np.exp(-found.raw(bins)[there])), atol=1e-12)
+
+
+def test_columns_are_sampled_per_tree():
+    from tidewatch.plans import boosting
+
+    every = np.arange(10)
+    taken = [boosting.columns_taken(every, 10, 0.8, 42, k) for k in range(50)]
+    assert all(t.sum() == 8 for t in taken) and len({tuple(t) for t in taken}) > 10
+    assert boosting.columns_taken(np.arange(1), 1, 0.8, 42, 0).all()
+    wide = boosting.columns_taken(np.arange(200_000), 200_000, 0.8, 42, 0).mean()
+    assert abs(wide - 0.8) < 0.01
+
+
+def test_no_python_in_scoring(spark):
+    from tidewatch.operators import prepare as preparing
+
+    rows = spark.createDataFrame([(i, float(i % 7), "abc"[i % 3], int(i % 7 > 3)) for i in range(90)], "id int, n double, c string, y int")
+    for fitted in (preparing.fit_sparse(rows, ["n"], ["c"]), preparing.fit(rows, ["n"], ["c"])):
+        model = training.train(rows, fitted, "y", training.BoostingParams(rounds=3, depth=2))
+        scored = training.score(model, rows)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+        assert metrics.evaluate(scored, "y", "probability").first()["roc_auc"] == 1.0
+
+
 def test_append_refuses_incomplete_records(spark, tmp_path):
     from pyspark.errors import PySparkException
 

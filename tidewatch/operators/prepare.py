@@ -6,10 +6,13 @@ written table of any size, looks values up by join and gives sparse vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.wrapper import JavaParams
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,16 @@ class Preparation:
         """`keep` columns followed by the prepared features; everything else is dropped."""
         return df.select(*keep, *self.columns())
 
+    def coded(self, df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str], dict[str, int]]:
+        """`keep` columns with prepared numbers and category indices (null for unknown ones); their names, and the sizes."""
+        codes = {f"code_{i}": len(values) for i, values in enumerate(self.categories.values())}
+        numbers = [f"number_{i}" for i in range(len(self.numbers))]
+        cells = [c.alias(n) for c, n in zip(self.columns(), numbers)]
+        for (name, values), code in zip(self.categories.items(), codes):
+            known = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+            cells.append((F.nullif(F.array_position(known, _filled(name)), F.lit(0)) - 1).alias(code))
+        return df.select(*keep, *cells), numbers, codes
+
     def sql(self) -> str:
         """The same projection as a statement, so that it can be saved inside an ML pipeline."""
 
@@ -144,21 +157,48 @@ class SparsePreparation:
     def prepared_numbers(self) -> list[Column]:
         return Preparation(self.numbers, {}).columns()
 
+    def coded(self, df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str], dict[str, int]]:
+        """`keep` columns with prepared numbers and category indices (null for unknown ones); their names, and the sizes."""
+        codes = {f"code_{i}": n for i, n in enumerate(self.sizes.values())}
+        for name, code in zip(self.sizes, codes):
+            df = self.indexed(df, name, code)
+        numbers = [f"number_{i}" for i in range(len(self.numbers))]
+        cells = [c.alias(n) for c, n in zip(self.prepared_numbers(), numbers)]
+        return df.select(*keep, *cells, *codes), numbers, codes
+
     def transform(self, df: DataFrame, output: str) -> DataFrame:
-        """All columns of `df` and the features as one vector; the first category of a feature and unknown ones are zeros."""
-        columns, width, offsets = df.columns, self.width, self._offsets()
-        for i, name in enumerate(offsets):
-            df = self.indexed(df, name, f"_index_{i}")
-        places = [F.when(F.col(f"_index_{i}") > 0, F.col(f"_index_{i}") + offset) for i, offset in enumerate(offsets.values())]
-        empty = "array<long>"
-
-        @F.udf(VectorUDT())
-        def vector(numbers: list[float], ones: list[int]) -> SparseVector:
-            held = [(i, x) for i, x in enumerate(numbers) if x] + [(i, 1.0) for i in ones]
-            return Vectors.sparse(width, held)
-
-        given = F.array(*self.prepared_numbers()).cast("array<double>")
-        return df.select(*columns, vector(given, F.array_compact(F.array(*places).cast(empty))).alias(output))
+        """All columns of `df` and the features as one vector; the first category of a feature and unknown ones are zeros.
+
+        The encoder leaves out the last category, so indices are turned by one: the first category and unknown
+        ones come last.
+        """
+        columns, spread = df.columns, [name for name, n in self.sizes.items() if n > 1]
+        turned = [f"_turned_{i}" for i in range(len(spread))]
+        for name, to in zip(spread, turned):
+            n = self.sizes[name]
+            df = self.indexed(df, name, to).withColumn(to, F.pmod(F.coalesce(to, F.lit(0)) - 1, F.lit(n)).cast("double"))
+        numbers = [f"_number_{i}" for i in range(len(self.numbers))]
+        # A number that training never saw has no median, and so may still be absent here.
+        df = df.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in zip(numbers, self.prepared_numbers())})
+        parts = list(numbers)
+        if spread:
+            parts += [f"{to}_vector" for to in turned]
+            df = _first_left_out([self.sizes[n] for n in spread], turned, parts[len(numbers) :]).transform(df)
+        if not parts:
+            return df.select(*columns, array_to_vector(F.array().cast("array<double>")).alias(output))
+        return VectorAssembler(inputCols=parts, outputCol=output).transform(df).select(*columns, output)
+
+
+def _first_left_out(sizes: list[int], inputs: list[str], outputs: list[str]) -> OneHotEncoderModel:
+    """One-hot encoder for indices whose sizes are known, without a fit."""
+    gateway = SparkSession.active().sparkContext._gateway
+    held = gateway.new_array(gateway.jvm.int, len(sizes))
+    for i, n in enumerate(sizes):
+        held[i] = n
+    uid = f"OneHotEncoderModel_{uuid.uuid4().hex[:12]}"
+    model = OneHotEncoderModel(JavaParams._new_java_obj("org.apache.spark.ml.feature.OneHotEncoderModel", uid, held))
+    model._resetUid(uid)
+    return model.setInputCols(inputs).setOutputCols(outputs).setDropLast(True)
 
 
 def fit_sparse(

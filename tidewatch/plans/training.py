@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
 from tidewatch.operators.prepare import NumberParams, Preparation, SparsePreparation
-from tidewatch.session import shared_path
+from tidewatch.plans import boosting
 from tidewatch.sources import tables
 
 VECTOR = "prepared_vector"
@@ -84,76 +82,27 @@ def train(
     """Fit preparation and model as one pipeline, so that they are saved and applied together.
 
     `validation` names a boolean column; its rows only decide which round is kept, so the test rows stay
-    unseen: the one of least unweighted log loss before `patience` rounds brought no gain. Positive rows
-    carry the weight.
+    unseen: the one of least unweighted log loss. Once `patience` rounds brought no gain, no more are fitted.
+    Positive rows carry the weight. Scoring is Spark ML's own, without Python.
     """
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        # Each round builds on the one before; the plan is cut every ten rounds only if there is a folder for it.
-        sc.setCheckpointDir(shared_path(rows.sparkSession, "rounds"))
-    booster = GBTClassifier(
-        featuresCol=VECTOR,
-        labelCol="_label",
-        weightCol="_weight",
-        predictionCol="class_prediction",
-        maxIter=params.rounds,
-        maxDepth=params.depth,
-        stepSize=params.rate,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.column_share),
-        seed=params.seed,
-    )
-    booster = booster.setRawPredictionCol("raw_prediction").setProbabilityCol("class_probability")
-    y = F.col(target).cast("double")
-    weighted = rows.withColumns(
-        {"_label": y, "_weight": F.when(y == 1, params.positive_weight).otherwise(1.0)}
-    )
+    coded, numbers, sizes = preparation.coded(rows, [target, *([validation] if validation else [])])
+    grown = boosting.fit(coded, numbers, sizes, params, target, validation)
     if isinstance(preparation, SparsePreparation):
         prepared = [SparseFeatures(preparation)]
     else:
         names = [f"prepared_{i}" for i in range(len(preparation.feature_names))]
         prepared = [SQLTransformer(statement=preparation.sql()), VectorAssembler(inputCols=names, outputCol=VECTOR)]
-    pipeline = Pipeline(stages=[*prepared, booster])
-    if not validation:
-        return pipeline.fit(weighted)
-    fitted = pipeline.fit(weighted.where(~F.col(validation)))
-    *before, boosted = fitted.stages
-    watched = PipelineModel(before).transform(weighted.where(validation).withColumn("_weight", F.lit(1.0)))
-    if watched.isEmpty():
-        return fitted
-    kept = best_round(boosted.evaluateEachIteration(watched), params.patience)
-    return PipelineModel([*before, _first_rounds(boosted, kept)])
-
-
-def best_round(losses: Sequence[float], patience: int) -> int:
-    """The 1-based round of least loss, looking no further than `patience` rounds without gain."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+    model = grown.as_spark(rows.sparkSession)
+    model.setFeaturesCol(VECTOR).setPredictionCol("class_prediction")
+    model.setRawPredictionCol("raw_prediction").setProbabilityCol("class_probability")
+    model._transfer_params_to_java()
+    return PipelineModel([*prepared, model])
 
 
 def rounds_kept(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
-def _first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model without its later trees; Spark has no setting for that."""
-    java = model._java_obj
-    cut = model.__class__(
-        SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-            java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures(), java.numClasses()
-        )
-    )
-    cut._resetUid(model.uid)
-    model._copyValues(cut)
-    cut._transfer_params_to_java()
-    return cut
-
-
 def hold_out(rows: DataFrame, key: Sequence[str], share: float = 0.1, seed: int = 7, name: str = "is_validation") -> DataFrame:
     """Mark about `share` of the rows, by a hash of their key, to watch training."""
     return rows.withColumn(name, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(10_007)) < int(share * 10_007))

@@ -37,7 +37,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def _drop_path(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
@@ -73,7 +73,7 @@ def read_labelled(spark: SparkSession, path: str, target: str) -> DataFrame | No
 def write_table(df: DataFrame | None, path: str, spark: SparkSession | None = None) -> None:
     """Replace a table; None removes the old one, which would be stale for the model being trained."""
     if df is None:
-        _drop_path(spark, path)
+        drop_path(spark, path)
     else:
         df.write.mode("overwrite").parquet(path)
 
