@@ -187,7 +187,7 @@ def test_log_append_schema_and_history(spark, tmp_path):
     record = spark.createDataFrame([("1", "r", "{}", 1, 0.9, "v1", False, T0)], "id string, request_id string, features string, prediction int, probability double, model_version string, drift_analyzed boolean, created_at timestamp")
     tables.append_predictions(record, path)
     tables.append_predictions(record, path)
-    stored = spark.read.parquet(path)
+    stored = tables.read_predictions(spark, path)
     assert stored.count() == 2 and "actual_label" in stored.columns
     _, added = tables.align_to_schema(record.drop("id"), schemas.PREDICTION_LOG)
     assert added == ["actual_label", "label_received_at"]
@@ -441,8 +441,58 @@ def test_append_refuses_incomplete_records(spark, tmp_path):
         tables.append_predictions(record.drop("probability"), str(tmp_path / "log"))
     with pytest.raises(PySparkException):
         tables.append_predictions(record.withColumn("probability", F.lit(None).cast("double")), str(tmp_path / "log"))
+    assert tables.read_predictions(spark, str(tmp_path / "log")).count() == 0
     tables.append_predictions(record, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+    assert tables.read_predictions(spark, str(tmp_path / "log")).count() == 1
+
+
+def test_an_append_that_stops_halfway_shows_no_row(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    path = str(tmp_path / "log")
+    schema = spark.range(1).schema
+    visible = lambda: tables.read_committed(spark, path, schema).count()
+    assert visible() == 0
+    # A task fails after another one has written its file.
+    broken = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 99, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(PySparkException):
+        tables.append_committed(broken, path, "first")
+    assert visible() == 0
+    # The driver stops when all files are there, and before the manifest is.
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_publish", lambda *_: (_ for _ in ()).throw(OSError("the driver is gone")))
+        with pytest.raises(OSError):
+            tables.append_committed(spark.range(0, 100, 1, 4), path, "first")
+    assert list((tmp_path / "log" / "data").rglob("part-*.parquet")) and visible() == 0
+    # The same commit again: once, whoever comes first.
+    assert tables.append_committed(spark.range(0, 100, 1, 4), path, "first") and visible() == 100
+    assert not tables.append_committed(spark.range(0, 100, 1, 4), path, "first") and visible() == 100
+    assert not tables._publish(spark, "{}", f"{path}/commits/first.json") and visible() == 100
+    assert tables.append_committed(spark.range(5), path) and visible() == 105
+    # Nothing of what was stopped is read, and no draft of a manifest stays.
+    assert not [p for p in (tmp_path / "log" / "commits").iterdir() if p.name.endswith("draft")]
+    assert tables.append_committed(spark.range(0), path) and visible() == 105
+
+
+def test_columns_from_whatever_keys_the_log_holds(spark):
+    listed = [
+        '{"a":1,"b":{"x":1.5,"y":[1,2]},"c":"t","n":null,"A":true,"it\'s":2,"e":{}}',
+        '{"a":2.5,"b":{"z":"q","x":null},"c":{"d":1},"OBJECT":1,"l":[1,"u"]}',
+        '{"a":3,"c":7,"e f":[{"u":1},{"v":2}],"ID":9}', "not JSON", None, "[1,2]", "{}", "5",
+    ]
+    log = spark.createDataFrame([(i, t) for i, t in enumerate(listed)], "id long, features string")
+    out = tables.unpack_all_features(log).orderBy("id")
+    rows = out.collect()
+    assert len(rows) == len(listed) and dict(out.dtypes)["b"] == "struct<x:double,y:array<bigint>,z:string>"
+    assert out.columns == ["id", "A", "ID_2", "OBJECT", "a_2", "b", "c", "e", "e f", "it's", "l", "n"]
+    assert [r["a_2"] for r in rows[:4]] == [1.0, 2.5, 3.0, None] and [r["c"] for r in rows[:4]] == ["t", '{"d":1}', "7", None]
+    assert [r["A"] for r in rows[:2]] == [True, None] and rows[0]["it's"] == 2 and rows[2]["ID_2"] == 9 and rows[1]["OBJECT"] == 1
+    assert rows[0]["b"].y == [1, 2] and rows[1]["b"].z == "q" and rows[1]["b"].x is None
+    assert [tuple(x) for x in rows[2]["e f"]] == [(1, None), (None, 2)] and rows[1]["l"] == ["1", "u"] and rows[0]["e"] == "{}"
+    assert all(v is None for r in rows[3:] for v in list(r)[1:]) and all(r["n"] is None for r in rows)
+    assert tables.unpack_all_features(log.where("id > 3")).columns == ["id"]
+    with pytest.raises(tables.DataValidationError):
+        tables.unpack_all_features(spark.createDataFrame([("{\"a'\\\"b\":1}",)], "features string"))
 
 
 @pytest.mark.parametrize("by", [[], ["stream"]])

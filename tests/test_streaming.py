@@ -86,18 +86,63 @@ def test_latest_label_and_cooldown_keep_state_between_batches(spark, tmp_path):
     assert out.sort_values("id").fired.tolist() == [True, False, False, True, False, False, True]
 
 
+def saved_model(spark, path):
+    from tidewatch.operators import prepare
+    from tidewatch.plans import training
+
+    df = rows(spark, 300).withColumns({"y": (F.col("value") % 40 < 15).cast("int"), "kind": F.concat(F.lit("k"), F.col("id") % 3)})
+    fitted = prepare.fit_sparse(df, ["value", "latency"], ["kind"])
+    training.train(df, fitted, "y", training.BoostingParams(rounds=4, depth=3, rate=0.5)).write().save(path)
+
+
+def scoring_job(spark, tmp_path):
+    return scoring.ScoringJob.with_saved_model(
+        spark, str(tmp_path / "model"), rules=[Rule("value", low=0.0, high=79.0)],
+        shape=lambda scored: scored.select("request_id", "probability"), log_path=str(tmp_path / "log"), quarantine_path=str(tmp_path / "bad"),
+    )
+
+
 def test_scoring_stream_and_quarantine(spark, tmp_path):
-    stream = as_stream(spark, rows(spark, 100), tmp_path / "in", 2)
-    job = scoring.ScoringJob([Rule("value", low=0.0, high=79.0)], lambda valid: valid.select("request_id", "probability"))
-    for query in job.start(stream, str(tmp_path / "log"), str(tmp_path / "bad"), str(tmp_path / "cp")):
-        query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 80
-    bad = spark.read.parquet(str(tmp_path / "bad"))
+    saved_model(spark, str(tmp_path / "model"))
+    job = scoring_job(spark, tmp_path)
+    records = rows(spark, 100).withColumn("kind", F.concat(F.lit("k"), F.col("id") % 4)).drop("probability")
+    stream = as_stream(spark, records, tmp_path / "in", 2)
+    job.start(stream, str(tmp_path / "cp")).awaitTermination()
+    log, bad = job.written(spark, records.schema)
+    # Row by row what a batch job gives.
+    want = {r["request_id"]: r["probability"] for r in job.sinks(records)[0].collect()}
+    assert len(want) == 80 and len({round(p, 6) for p in want.values()}) > 3
+    assert {r["request_id"]: r["probability"] for r in log.collect()} == want and log.count() == 80
     assert bad.count() == 20 and bad.first()["violations"] == ["value:too_high"]
     # Starting again finds nothing new.
-    for query in job.start(stream, str(tmp_path / "log"), str(tmp_path / "bad"), str(tmp_path / "cp")):
-        query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 80
+    job.start(stream, str(tmp_path / "cp")).awaitTermination()
+    assert job.written(spark, records.schema)[0].count() == 80
+
+
+def test_a_repeated_scoring_batch_changes_nothing_and_completes_the_other_sink(spark, tmp_path, monkeypatch):
+    from tidewatch.sources import tables
+
+    saved_model(spark, str(tmp_path / "model"))
+    job = scoring_job(spark, tmp_path)
+    records = rows(spark, 100).withColumn("kind", F.lit("k1")).drop("probability")
+    append = tables.append_committed
+
+    def stops_before_quarantine(df, path, commit):
+        if path.endswith("bad"):
+            raise OSError("the driver is gone")
+        return append(df, path, commit)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append_committed", stops_before_quarantine)
+        with pytest.raises(OSError):
+            job.handle(records, 0)
+    counts = lambda: [df.count() for df in job.written(spark, records.schema)]
+    assert counts() == [80, 0]
+    job.handle(records, 0)
+    job.handle(records, 0)
+    assert counts() == [80, 20]
+    job.handle(records, 1)
+    assert counts() == [160, 40]
 
 
 def test_count_windows_wait_and_a_repeated_batch_changes_nothing(spark, tmp_path):

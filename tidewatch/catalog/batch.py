@@ -66,6 +66,32 @@ def json_features_open_schema(spark, sf):
     return tables.unpack_open_features(log, {"k": "double", "absent": "string"})
 
 
+@QUERIES.add(
+    f"""WITH {LOG_SQL} SELECT id, k AS k_2, CAST(CASE WHEN id % 3 = 0 THEN k ELSE value END AS DOUBLE) AS amount, event_type = 'click' AS clicked,
+ CASE id % 3 WHEN 0 THEN event_type WHEN 1 THEN CAST(k AS VARCHAR) ELSE '{{"k":' || CAST(k AS VARCHAR) || '}}' END AS mixed,
+ CASE WHEN id % 2 = 0 THEN user_id END AS user_id, CASE WHEN id % 2 = 1 THEN event_type END AS kind, CAST(1 + id % 3 AS BIGINT) AS n_parts FROM log"""
+)
+def json_features_inferred(spark, sf):
+    """Columns and types from the log itself: nested keys, keys of some rows only, numbers of two kinds, clashing types."""
+    k, text = F.col("k"), F.col("k").cast("string")
+    mixed = F.when(F.col("id") % 3 == 0, F.to_json(F.array("event_type"))).when(F.col("id") % 3 == 1, F.concat(F.lit("["), text, F.lit("]")))
+    mixed = mixed.otherwise(F.concat(F.lit('[{"k":'), text, F.lit("}]")))
+    nested = F.when(F.col("id") % 2 == 0, F.to_json(F.struct("user_id"))).otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"))))
+    amount = F.when(F.col("id") % 3 == 0, text).otherwise(F.col("value").cast("string"))
+    cells = {
+        "K": text, "amount": amount, "clicked": (F.col("event_type") == "click").cast("string"),
+        "mixed": F.expr("substring(_mixed, 2, length(_mixed) - 2)"), "at": F.col("_nested"),
+        "parts": F.to_json(F.expr("transform(sequence(0, id % 3), i -> named_struct('i', i))")),
+    }
+    listed = F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), cell) for name, cell in cells.items()])
+    log = views.log(spark, sf).withColumns({"_mixed": mixed, "_nested": nested})
+    packed = log.select("id", k, F.concat(F.lit("{"), listed, F.lit("}")).alias("features"))
+    found = tables.unpack_all_features(packed)
+    return found.select(
+        "id", F.col("K_2").alias("k_2"), "amount", "clicked", "mixed", "at.user_id", "at.kind", F.size("parts").cast("long").alias("n_parts")
+    )
+
+
 @QUERIES.add(
     f"SELECT feature, {n()} AS rows FROM (SELECT unnest(json_keys(CAST(props AS JSON))) AS feature FROM events) GROUP BY feature"
 )
@@ -96,8 +122,7 @@ def append_prediction_log(spark, sf):
     records = log_records(spark, sf)
     tables.append_predictions(records.where("prediction = 1"), path)
     tables.append_predictions(records.where("prediction = 0"), path)
-    stored = spark.read.schema(schemas.PREDICTION_LOG).parquet(path)
-    return stored.groupBy("model_version", "drift_analyzed").agg(
+    return tables.read_predictions(spark, path).groupBy("model_version", "drift_analyzed").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("prediction").alias("positives"), F.count("actual_label").alias("labelled")
     )
 

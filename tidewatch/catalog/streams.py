@@ -15,7 +15,9 @@ from tidewatch.catalog.views import LOG_SQL
 from tidewatch.operators import metrics, rollups, validate
 from tidewatch.operators.drift import DriftConfig
 from tidewatch.operators.validate import Rule
+from tidewatch.operators.prepare import fit_sparse
 from tidewatch.plans import drift_pass as passes
+from tidewatch.plans import training
 from tidewatch.session import prepare, shared_path
 from tidewatch.sources import tables
 from tidewatch.streaming import outcomes, run, scoring, triggers, windows
@@ -81,24 +83,50 @@ EVENT_RULES = [
 ]
 
 
+SCORED_NUMBERS, SCORED_TEXTS = ["value", "k"], ["event_type"]
+
+
+def event_model(spark, sf):
+    """A pipeline trained on the log's outcomes and saved; the path."""
+    log = views.log(spark, sf).where("event_type <> 'error' and value <= 50")
+    right = F.pmod(F.col("id") * 13 + F.col("k"), F.lit(5)) < 3
+    rows = log.withColumn("outcome", F.when(right, F.col("prediction")).otherwise(1 - F.col("prediction")))
+    rows = training.hold_out(rows, ["id"])
+    preparation = fit_sparse(rows.where("not is_validation"), SCORED_NUMBERS, SCORED_TEXTS)
+    model = training.train(rows, preparation, "outcome", validation="is_validation")
+    path = shared_path(spark, "event-model")
+    model.write().save(path)
+    return path
+
+
+def scored_log(scored):
+    """What the stream logs of scored records."""
+    decided = scored.withColumn("decision", metrics.decide(F.col("probability"), 0.5))
+    return tables.pack_features(decided, [*SCORED_NUMBERS, *SCORED_TEXTS]).select("id", "request_id", "features", "decision", "probability")
+
+
 @QUERIES.add(
     f"""WITH {LOG_SQL} SELECT CASE WHEN event_type = 'error' OR value > 50 THEN 'quarantine' ELSE 'log' END AS sink, {n()} AS n,
- CAST(sum(CASE WHEN event_type = 'error' OR value > 50 THEN 0 ELSE prediction END) AS BIGINT) AS positives FROM log GROUP BY 1"""
+ CAST(count(DISTINCT id) AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS unlike_batch FROM log GROUP BY 1"""
 )
 def stream_scoring_and_quarantine(spark, sf):
-    """Valid records are scored into the log, invalid ones kept apart with their violations."""
-    base = shared_path(spark, "stream-scoring")
-
-    def score(valid):
-        decided = valid.withColumn("decision", metrics.decide(F.col("probability"), 0.5))
-        return tables.pack_features(decided, ["event_type", "value", "k"]).select("request_id", "features", "decision", "probability")
-
-    job = scoring.ScoringJob(EVENT_RULES, score)
-    for query in job.start(log_stream(spark, sf), f"{base}/log", f"{base}/quarantine", f"{base}/checkpoint"):
-        query.awaitTermination()
-    logged = spark.read.parquet(f"{base}/log").select(F.lit("log").alias("sink"), "decision")
-    kept = spark.read.parquet(f"{base}/quarantine").select(F.lit("quarantine").alias("sink"), F.lit(0).alias("decision"))
-    return logged.unionByName(kept).groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.sum("decision").alias("positives"))
+    """A trained pipeline scores valid records into the log; invalid ones are kept apart with their violations.
+
+    `unlike_batch` counts rows that a batch job with the same saved pipeline scores otherwise.
+    """
+    base, model = shared_path(spark, "stream-scoring"), event_model(spark, sf)
+    job = scoring.ScoringJob.with_saved_model(
+        spark, model, rules=EVENT_RULES, shape=scored_log, log_path=f"{base}/log", quarantine_path=f"{base}/quarantine"
+    )
+    records = log_stream(spark, sf).drop("probability")
+    job.start(records, f"{base}/checkpoint").awaitTermination()
+    logged, kept = job.written(spark, records.schema)
+    again = job.sinks(views.log(spark, sf).drop("probability"))[0].select("id", F.struct("features", "decision", "probability").alias("batch"))
+    compared = logged.join(again, "id", "full").select(
+        F.lit("log").alias("sink"), "id", (~F.struct("features", "decision", "probability").eqNullSafe(F.col("batch"))).cast("long").alias("unlike")
+    )
+    rows = compared.unionByName(kept.select(F.lit("quarantine").alias("sink"), "id", F.lit(0).cast("long").alias("unlike")))
+    return rows.groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("unlike").alias("unlike_batch"))
 
 
 def outcome_stream(spark, sf):
