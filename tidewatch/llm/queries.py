@@ -137,14 +137,19 @@ edge AS (SELECT r, s, e FROM span UNION ALL SELECT r, octet_length(raw), octet_l
 piece AS (SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s, e), 0) AS a FROM edge),
 rest AS (SELECT r, string_agg(CASE WHEN s > a THEN hex(raw[a + 1 : s]) ELSE '' END, '' ORDER BY s) AS rest FROM piece JOIN b USING (r) GROUP BY r)
 SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(rest)) AS kept_sha256
+       sha256(unhex(rest)) AS kept_sha256, octet_length(raw) - coalesce(n_removed, 0) AS n_kept
 FROM b JOIN rest USING (r) LEFT JOIN total USING (r)"""
 )
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf, "documents"), texts=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+        (F.col("n_bytes") - removed).alias("n_kept"),
     )
 
 
