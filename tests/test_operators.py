@@ -395,7 +395,7 @@ def test_resample(spark, rows_per_task):
 
 # ---- roll-ups
 
-def test_rollups(spark):
+def test_rollups(spark, monkeypatch):
     rows = [(T0 + dt.timedelta(minutes=m), k, v) for m, k, v in [(0, "a", 0.003), (1, "e", 0.2), (12, "a", 0.07), (13, "a", 9.0)]]
     df = spark.createDataFrame(rows, "ts timestamp, kind string, v double")
     counts = {(r["window_start"].minute, r["kind"]): r["n"] for r in rollups.count_per_window(df, "ts", ["kind"]).collect()}
@@ -406,6 +406,13 @@ def test_rollups(spark):
     found = {(r["window_start"].minute, r["error_type"]): r["errors"] for r in typed}
     assert len(found) == 10 and {k: v for k, v in found.items() if v} == {(0, "a"): 1, (0, "e"): 1, (10, "a"): 2}
     assert rollups.errors_by_type(df.where("false"), "ts", "kind").count() == 0
+    # Thousands of types over more windows than one row makes.
+    many = spark.range(3_000).select(
+        (F.lit(T0) + F.make_dt_interval(mins=F.col("id") % 2 * 5 * 40)).alias("ts"), F.concat(F.lit("t"), "id").alias("kind")
+    )
+    monkeypatch.setattr(rollups, "WINDOWS_AT_ONCE", 7)
+    found = rollups.errors_by_type(many, "ts", "kind")
+    assert found.count() == 3_000 * 41 == found.distinct().count() and found.agg(F.sum("errors")).first()[0] == 3_000
     latency = {r["window_start"].minute: r for r in rollups.latency_per_window(df, "ts", "v").collect()}
     assert latency[10]["p95"] == 2.5 and latency[10]["n"] == 2
     assert latency[0]["p95"] == pytest.approx(0.1 + 0.15 * (1.9 - 1) / 1)

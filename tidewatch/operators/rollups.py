@@ -13,6 +13,8 @@ from tidewatch.session import stage
 # Upper bounds of the latency (seconds) and score histograms.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
 SCORE_BOUNDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+# Window starts made from one row, at most.
+WINDOWS_AT_ONCE = 10_000
 
 
 def count_per_window(log: DataFrame, time: str, by: Sequence[str], length: str = "5 minutes") -> DataFrame:
@@ -33,19 +35,27 @@ def error_counts(
     return spine(counted, length).join(counted, "window_start", "left").fillna(0, subset=["errors", *kinds])
 
 
-def spine(counted: DataFrame, length: str, span: tuple | None = None) -> DataFrame:
-    """All window starts from the first to the last of `counted` (or of `span`), made by many tasks."""
+def _grid(counted: DataFrame, length: str, span: tuple | None) -> tuple[int, int, int] | None:
+    """First window start and step in microseconds, and the number of windows up to the last one."""
     low, high = span or counted.agg(F.min("window_start"), F.max("window_start")).first()
-    spark = counted.sparkSession
     if low is None:
-        return counted.select("window_start").limit(0)
-    bounds = spark.range(1).select(
+        return None
+    bounds = counted.sparkSession.range(1).select(
         F.unix_micros(F.lit(low)).alias("low"),
         F.unix_micros(F.lit(high)).alias("high"),
         (F.unix_micros(F.lit(low) + F.expr(f"interval {length}")) - F.unix_micros(F.lit(low))).alias("step"),
     ).first()
-    steps = spark.range((bounds["high"] - bounds["low"]) // bounds["step"] + 1)
-    return steps.select(F.timestamp_micros(F.lit(bounds["low"]) + F.col("id") * bounds["step"]).alias("window_start"))
+    return bounds["low"], bounds["step"], (bounds["high"] - bounds["low"]) // bounds["step"] + 1
+
+
+def spine(counted: DataFrame, length: str, span: tuple | None = None) -> DataFrame:
+    """All window starts from the first to the last of `counted` (or of `span`), made by many tasks."""
+    grid = _grid(counted, length, span)
+    if grid is None:
+        return counted.select("window_start").limit(0)
+    low, step, number = grid
+    steps = counted.sparkSession.range(number)
+    return steps.select(F.timestamp_micros(F.lit(low) + F.col("id") * step).alias("window_start"))
 
 
 def errors_by_type(
@@ -53,17 +63,25 @@ def errors_by_type(
 ) -> DataFrame:
     """Errors per window and type, whatever types there are, with 0 where a type did not occur.
 
-    `kind` is null for rows that are no errors. Types are few; windows come from a distributed range.
+    `kind` is null for rows that are no errors. Types stay a table of any size; each makes its own windows, a
+    bounded number of them from one row.
     """
     counted = log.where(F.col(kind).isNotNull()).groupBy(F.window(time, length).alias("_w"), F.col(kind).alias("error_type"))
     counted = stage(
         counted.agg(F.count(F.lit(1)).alias("errors")).select(F.col("_w.start").alias("window_start"), "error_type", "errors"),
         "errors-by-type",
     )
-    # One entry per type of error, not per row.
-    types = [r["error_type"] for r in counted.select("error_type").distinct().orderBy("error_type").collect()]
-    listed = F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>"))
-    every = spine(counted, length, span).select("window_start", listed.alias("error_type"))
+    grid = _grid(counted, length, span)
+    if grid is None:
+        return counted
+    low, step, number = grid
+    types = counted.select("error_type").distinct()
+    blocks = types.select("error_type", F.explode(F.sequence(F.lit(0), F.lit((number - 1) // WINDOWS_AT_ONCE))).alias("block"))
+    first = F.col("block") * WINDOWS_AT_ONCE
+    place = F.explode(F.sequence(first, F.least(first + (WINDOWS_AT_ONCE - 1), F.lit(number - 1))))
+    every = blocks.select("error_type", place.alias("place")).select(
+        F.timestamp_micros(F.lit(low) + F.col("place").cast("long") * step).alias("window_start"), "error_type"
+    )
     return every.join(counted, ["window_start", "error_type"], "left").fillna(0, subset=["errors"])
 
 
