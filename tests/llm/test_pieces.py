@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,26 @@ def test_ids_and_texts_equal_the_library(encoder):
         assert encoder.decode(np.array(library.encode(t), np.int64)) == library.decode(library.encode(t))
 
 
+def test_long_units_equal_the_library(encoder, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdetnors") for _ in range(n)) for n in (511, 512, 3000)]
+    texts += ["日本語ab" * 400, "x" * 2000 + " y", "a b " * 10 + "q" * 700 + " z " + "theand" * 300]
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t) for t in texts]
+    # The heap gives what the rounds give.
+    monkeypatch.setattr(pieces, "LONG", 2)
+    fresh = pieces.Encoder(library.serialized_model_proto())
+    assert [x.tolist() for x in fresh.encode(odd_texts())] == [library.encode(t) for t in odd_texts()]
+
+
+def test_a_very_long_unit_takes_seconds(encoder):
+    rng = random.Random(4)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000)), "日本" * 100_000):
+        started = time.process_time()
+        (ids,) = encoder.encode([text])
+        assert ids.tolist() == library.encode(text) and encoder.decode(ids) == text
+        assert time.process_time() - started < 30
+
+
 def test_a_small_memory_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 5)
     monkeypatch.setattr(pieces, "JOINED", 40)

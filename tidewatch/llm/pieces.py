@@ -9,7 +9,8 @@ These edges, in order of position, are relaxed into paths.
 The vocabulary given here is of the byte-pair kind, where the right path is not the one of the best total score:
 edges are taken by rank, and an edge is taken only where its two ends are ends of neighbouring symbols. So the
 relaxation takes, round by round and for all units at once, the best edge over two neighbouring symbols (ties:
-leftmost) until none is left. Characters that no edge covers become byte pieces.
+leftmost) until none is left. In a unit of very many characters, where a round would do too little, the same edges
+are taken from a heap. Characters that no edge covers become byte pieces.
 
 Null and empty texts have no ids; a null doc_id is kept; repeated rows are encoded each; an empty table gives an
 empty result; further columns are ignored.
@@ -17,14 +18,17 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ SHIFT = np.uint64(21)
 CACHE = 400_000
 JOINED = 1 << 18
 NONE = np.iinfo(np.int32).max
+# Characters of a unit from which on its edges are taken from a heap.
+LONG = 512
 
 
 class Vocabulary:
@@ -63,6 +69,7 @@ class Vocabulary:
         self.bytes = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(size) if m.is_byte(i)}
         self.raw: dict[int, bytes] = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw |= {int(i): t.replace(MARK, " ").encode() for t, i in zip(self.texts, self.ids)}
+        self.raw_of_id = pa.array([self.raw.get(i) for i in range(size)], pa.large_binary())
 
     @cached_property
     def of_text(self) -> dict[str, int]:
@@ -142,9 +149,16 @@ def relax(vocabulary: Vocabulary, chars: np.ndarray, unit: np.ndarray) -> tuple[
     wide = vocabulary.longest + 1
     edge = np.full(len(chars) * wide, -1, np.int32)
     edge[start * wide + length] = piece
-    at = np.nonzero(unit >= 0)[0]
-    end, of = at + 1, unit[at]
+    within = np.nonzero(unit >= 0)[0]
+    sizes = np.bincount(unit[within])
     done_at, done_end = [], []
+    for u in np.nonzero(sizes >= LONG)[0]:
+        low = int(np.searchsorted(unit[within], u)) if len(sizes) > 1 else 0
+        starts, ends = relax_long(vocabulary.rank, edge.reshape(-1, wide)[within[low] :][: sizes[u]])
+        done_at.append(starts + within[low])
+        done_end.append(ends + within[low])
+    at = within[sizes[unit[within]] < LONG]
+    end, of = at + 1, unit[at]
     while len(at):
         joined = np.concatenate([end[1:], [0]]) - at
         beside = np.concatenate([of[1:] == of[:-1], [False]]) & (joined < wide)
@@ -169,6 +183,35 @@ def relax(vocabulary: Vocabulary, chars: np.ndarray, unit: np.ndarray) -> tuple[
     return at, edge[at * wide + (end - at)] if len(at) else np.empty(0, np.int32)
 
 
+def relax_long(rank: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the symbols of one unit, given its piece per start and length, in n log n steps."""
+    n, wide = edge.shape
+    piece_at, rank_of = memoryview(np.ascontiguousarray(edge).ravel()), memoryview(np.ascontiguousarray(rank))
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1" * n)
+    first = np.nonzero(edge[: n - 1, 2] >= 0)[0] if wide > 2 else np.empty(0, np.int64)
+    heap = [(r, a, a + 2) for r, a in zip(rank[edge[first, 2]].tolist(), first.tolist())]
+    heapq.heapify(heap)
+
+    def offer(a: int, e: int) -> None:
+        if e - a < wide and (piece := piece_at[a * wide + e - a]) >= 0:
+            heapq.heappush(heap, (rank_of[piece], a, e))
+
+    while heap:
+        _, a, e = heapq.heappop(heap)
+        b = end[a]
+        # Only if the edge still lies over two neighbouring symbols.
+        if not alive[a] or b >= n or end[b] != e:
+            continue
+        alive[b], end[a] = 0, e
+        if e < n:
+            before[e] = a
+            offer(a, end[e])
+        if before[a] >= 0:
+            offer(before[a], e)
+    starts = np.nonzero(np.frombuffer(alive, np.uint8))[0]
+    return starts, np.array(end)[starts]
+
+
 def encode_units(vocabulary: Vocabulary, units: list[str]) -> list[bytes]:
     """Ids of each unit as little-endian 32-bit numbers."""
     sizes = np.array([len(u) for u in units])
@@ -228,8 +271,20 @@ class Encoder:
         return [np.frombuffer(b"".join(map(found.__getitem__, units)), "<i4") for units in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.vocabulary.raw.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: Sequence[np.ndarray]) -> list[str]:
+        """The text of each row of ids; their bytes lie side by side in what Arrow takes for all rows."""
+        taken = pc.take(self.vocabulary.raw_of_id, pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+        if taken.null_count:
+            raise KeyError("an id without text")
+        if not len(taken):
+            return [""] * len(rows)
+        _, ends, data = taken.buffers()
+        cuts = np.frombuffer(ends, np.int64, len(taken) + 1)[np.cumsum([0, *map(len, rows)])].tolist()
+        joined = data.to_pybytes()
+        out = (joined[s + (joined[s : s + 1] == b" " and s < e) : e] for s, e in zip(cuts[:-1], cuts[1:]))
+        return [raw.decode("utf-8", "replace") for raw in out]
 
 
 def sent_model(df: DataFrame, vocabulary: str | None = None):
@@ -259,7 +314,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(sent.value)
         for rows in batches:
-            yield pd.Series([encoder.decode(np.asarray(x, np.int64)) for x in rows], dtype=object)
+            yield pd.Series(encoder.decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))
 
