@@ -43,7 +43,7 @@ STOP = 0x110000
 PACKED = 3
 SHIFT = np.uint64(21)
 # Units remembered by a task, and characters indexed at once.
-CACHE = 400_000
+CACHE = 250_000
 JOINED = 1 << 18
 NONE = np.iinfo(np.int32).max
 # Characters of a unit from which on its edges are taken from a heap.
@@ -287,6 +287,17 @@ class Encoder:
         return [raw.decode("utf-8", "replace") for raw in out]
 
 
+_decoders: dict[int, Encoder] = {}
+
+
+def _decoder(model: bytes) -> Encoder:
+    """Built once per worker; being no iterator, the decoding shares a worker with other functions of the ids."""
+    key = zlib.crc32(model)
+    if key not in _decoders:
+        _decoders[key] = Encoder(model)
+    return _decoders[key]
+
+
 def sent_model(df: DataFrame, vocabulary: str | None = None):
     """The content of a model file, sent out once."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as file:
@@ -311,10 +322,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     sent = sent_model(encoded, vocabulary)
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(sent.value)
-        for rows in batches:
-            yield pd.Series(encoder.decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
+    def text(rows: pd.Series) -> pd.Series:
+        return pd.Series(_decoder(sent.value).decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))
 
