@@ -61,6 +61,7 @@ def test_a_very_long_unit_takes_seconds(encoder):
 def test_a_small_memory_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 5)
     monkeypatch.setattr(pieces, "JOINED", 40)
+    monkeypatch.setattr(pieces, "SPLIT", 20)
     small = pieces.Encoder(library.serialized_model_proto())
     for t in (["one two three", "three two one four"], ["five " * 20, "one six"]):
         assert [x.tolist() for x in small.encode(t)] == [library.encode(x) for x in t]

@@ -46,6 +46,8 @@ SHIFT = np.uint64(21)
 CACHE = 250_000
 JOINED = 1 << 18
 NONE = np.iinfo(np.int32).max
+# Characters split into units at once.
+SPLIT = 1 << 20
 # Characters of a unit from which on its edges are taken from a heap.
 LONG = 512
 
@@ -259,6 +261,17 @@ class Encoder:
         return found
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a bounded number of characters is split into units at once, or one longer text."""
+        out, some, size = [], [], 0
+        for t in texts:
+            if some and size + len(t or "") > SPLIT:
+                out += self._encode(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t or "")
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         found = self.learn(dict.fromkeys(u for units in split for u in units if u not in self.known))
         if len(self.known) + len(found) <= CACHE:
