@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import rollups
+from tidewatch.operators import labels, rollups
 from tidewatch.operators.validate import Rule
 from tidewatch.plans.drift_pass import PassConfig
 from tidewatch.streaming import outcomes, run, scoring, triggers, windows
@@ -70,6 +70,26 @@ def test_outcome_join_and_accuracy(spark, tmp_path):
     assert len(accuracy) == 7 and (accuracy.correct == 200).all() and (accuracy.incorrect == 0).all()
 
 
+def test_sliding_accuracy_by_panes_equals_the_batch_and_keeps_a_row_per_pane(spark, tmp_path):
+    step = F.make_dt_interval(hours=F.col("id"))
+    df = rows(spark, 600).withColumns({"created_at": F.lit(T0) + step, "model_version": F.concat(F.lit("v"), F.col("id") % 2)})
+    sent = df.select("request_id", (F.col("id") % 5 < 3).cast("int").alias("actual_label"), (F.col("created_at") + F.expr("interval 2 hours")).alias("received_at"))
+    joined = outcomes.join_outcomes(as_stream(spark, df, tmp_path / "log", 4), as_stream(spark, sent, tmp_path / "labels", 4, "received_at"), "1 day")
+    path = str(tmp_path / "out")
+    query = run.to_files(outcomes.live_accuracy(joined), path, str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = {(r["window_start"], r["model_version"]): (r["correct"], r["incorrect"]) for r in spark.read.parquet(path).collect()}
+    labelled = df.join(sent, "request_id")
+    batch = labels.live_accuracy(labelled, "created_at", "7 days", "1 day", ["model_version"])
+    # The last prediction's hour, less the lateness and the longest delay.
+    closed = T0 + dt.timedelta(hours=599 - 1 - 24)
+    want = {(r["window_start"], r["model_version"]): (r["correct"], r["incorrect"]) for r in batch.collect() if r["window_end"] <= closed}
+    assert got == want and len(got) > 30
+    kept = [s.numRowsTotal for s in query.lastProgress.stateOperators if "Aggregat" in s.operatorName or s.operatorName == "stateStoreSave"]
+    # Two versions: some open days and the windows over them, not 600 predictions.
+    assert kept and max(kept) <= 2 * 10
+
+
 def test_latest_label_and_cooldown_keep_state_between_batches(spark, tmp_path):
     outcomes.use_rocksdb(spark)
     sent = spark.range(9).select(

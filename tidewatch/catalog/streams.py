@@ -157,9 +157,16 @@ def stream_outcome_join(spark, sf):
     return tidy(run.drain(joined, "stream-outcomes").select("id", "prediction", "actual_label", "received_at"))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    f"""WITH {_OUTCOME_SQL}, days AS (SELECT date_trunc('day', created_at) AS d, model_version, count(*) FILTER (WHERE prediction = actual_label) AS c,
+  count(*) FILTER (WHERE prediction <> actual_label) AS i FROM matched WHERE actual_label IS NOT NULL GROUP BY ALL),
+starts AS (SELECT unnest(generate_series((SELECT min(d) FROM days) - INTERVAL 6 DAY, (SELECT max(d) FROM days), INTERVAL 1 DAY)) AS w)
+SELECT CAST(w AS TIMESTAMP) AS window_start, CAST(w AS TIMESTAMP) + INTERVAL 7 DAY AS window_end, model_version, CAST(sum(c) AS BIGINT) AS correct, CAST(sum(i) AS BIGINT) AS incorrect,
+ {r('sum(c) / (sum(c) + sum(i))', 'accuracy')} FROM starts JOIN days ON d >= w AND d < w + INTERVAL 7 DAY
+WHERE w + INTERVAL 7 DAY + INTERVAL 48 HOUR <= (SELECT mark.w FROM mark) GROUP BY ALL"""
+)
 def stream_live_accuracy(spark, sf):
-    """Sliding seven-day accuracy directly behind the outcome join."""
+    """Sliding seven-day accuracy directly behind the outcome join, by daily panes; windows close once no outcome can come."""
     log = log_stream(spark, sf).select("id", "request_id", "prediction", "model_version", "created_at")
     joined = outcomes.join_outcomes(log, outcome_stream(spark, sf), "48 hours")
     return tidy(run.drain(outcomes.live_accuracy(joined), "stream-accuracy"))

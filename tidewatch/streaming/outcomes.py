@@ -28,13 +28,21 @@ def join_outcomes(log: DataFrame, outcomes: DataFrame, longest_delay: str, laten
 
 
 def live_accuracy(joined: DataFrame, length: str = "7 days", slide: str = "1 day", by: str = "model_version") -> DataFrame:
-    """Correct and incorrect predictions per sliding window of the prediction's time."""
+    """Correct and incorrect predictions per sliding window of the prediction's time.
+
+    A row is counted in the one pane of its time; only closed panes are copied into the windows they lie in, so the
+    state holds a row per pane and per open window, whatever the number of predictions. `length` should be a
+    multiple of `slide`; otherwise the last part of a window is the pane that begins in it.
+    """
     right = F.col("prediction") == F.col("actual_label")
-    counted = (
+    panes = (
         joined.where(F.col("actual_label").isNotNull())
-        .groupBy(F.window("created_at", length, slide).alias("_w"), by)
+        .groupBy(F.window("created_at", slide).alias("_pane"), by)
         .agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"))
     )
+    counted = panes.groupBy(F.window("_pane", length, slide).alias("_w"), by).agg(
+        F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect")
+    )
     return counted.select(
         F.col("_w.start").alias("window_start"),
         F.col("_w.end").alias("window_end"),
