@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from brute import frame, sample_texts, with_repeats
+from pyspark.sql import functions as F
 
 from tidewatch.llm import pieces
 
@@ -83,3 +84,12 @@ def test_round_trip_of_a_table(spark):
     for r in rows:
         assert r.ids == library.encode(r.text or "") and r.decoded == (r.text or "")
     assert pieces.encode(frame(spark, [])).count() == 0
+
+
+def test_a_round_trip_in_one_worker_tells_the_same(spark):
+    docs = with_repeats(spark, [*sample_texts(), *odd_texts()])
+    apart = pieces.decode(pieces.encode(docs)).select("doc_id", "text", F.size("ids").alias("n_ids"), pieces.crc32_of(F.col("ids")).alias("ids_crc32"), "decoded")
+    together = pieces.round_trip(docs)
+    assert together.columns == apart.columns and together.count() == docs.count()
+    assert together.exceptAll(apart).isEmpty() and apart.exceptAll(together).isEmpty()
+    assert pieces.round_trip(frame(spark, [])).count() == 0

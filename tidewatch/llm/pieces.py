@@ -240,6 +240,19 @@ def encode_units(vocabulary: Vocabulary, units: list[str]) -> list[bytes]:
     return [joined[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def bounded(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, a bounded number of characters at once, or one longer text."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t or "") > SPLIT:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t or "")
+    if some:
+        yield some
+
+
 class Encoder:
     """Encodes batches of texts; remembers the first units it meets, up to a bound."""
 
@@ -261,15 +274,8 @@ class Encoder:
         return found
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """Ids of each text; a bounded number of characters is split into units at once, or one longer text."""
-        out, some, size = [], [], 0
-        for t in texts:
-            if some and size + len(t or "") > SPLIT:
-                out += self._encode(some)
-                some, size = [], 0
-            some.append(t)
-            size += len(t or "")
-        return out + self._encode(some)
+        """Ids of each text."""
+        return [ids for some in bounded(texts) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -341,6 +347,26 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.withColumn("decoded", text("ids"))
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, text, n_ids, ids_crc32 (see `crc32_of`) and decoded of every row, for checks of whole tables.
+
+    Texts are encoded and their ids decoded by one worker, so that ids don't go through the JVM.
+    """
+    sent = sent_model(docs, vocabulary)
+
+    @F.pandas_udf("n_ids long, ids_crc32 long, decoded string")
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(sent.value)
+        for texts in batches:
+            out = []
+            for some in bounded(texts):
+                rows = encoder.encode(some)
+                out += zip(map(len, rows), (zlib.crc32(x.tobytes()) for x in rows), encoder.decode_all(rows))
+            yield pd.DataFrame(out, columns=["n_ids", "ids_crc32", "decoded"])
+
+    return docs.select("doc_id", "text", both_ways(text_or_empty()).alias("found")).select("doc_id", "text", "found.*")
+
+
 def crc32_of(ids):
     """Unsigned CRC-32 of an array column of ids as little-endian 32-bit numbers."""
 
