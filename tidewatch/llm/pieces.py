@@ -42,8 +42,8 @@ UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 STOP = 0x110000
 PACKED = 3
 SHIFT = np.uint64(21)
-# Units remembered by a task, and characters indexed at once.
-CACHE = 250_000
+# Units remembered by a worker, and characters indexed at once.
+CACHE = 600_000
 JOINED = 1 << 18
 NONE = np.iinfo(np.int32).max
 # Characters split into units at once.
@@ -92,12 +92,36 @@ def _pack(chars: list[np.ndarray]) -> np.ndarray:
     return np.stack([(a << SHIFT | b) << SHIFT | c for a, b, c in zip(chars[::3], chars[1::3], chars[2::3])])
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    order = np.argsort(values)
+    sorted_values = values[order]
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.cumsum(np.concatenate([[False], sorted_values[1:] != sorted_values[:-1]]))
+    return ranks
+
+
 def suffix_array(chars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes up to `depth` characters, and these suffixes as keys."""
-    wide = -(-depth // PACKED) * PACKED
-    filled = np.concatenate([chars, np.full(wide, STOP, chars.dtype)]).astype(np.uint64)
-    keys = _pack([filled[i : i + len(chars)] for i in range(wide)])
-    order = np.lexsort(keys[::-1])
+    """Positions in the order of their suffixes up to `depth` characters, and these suffixes as keys.
+
+    Suffixes are ranked by three characters first; the ranks of neighbouring parts, as many as fit into a number,
+    rank them by a multiple of that, until the depth is reached.
+    """
+    wide, n = -(-depth // PACKED) * PACKED, len(chars)
+    filled = np.concatenate([chars, np.full(2 * wide, STOP, chars.dtype)]).astype(np.uint64)
+    m = n + wide
+    keys = _pack([filled[i : i + m] for i in range(wide)])
+    bits, span = max(1, m.bit_length()), PACKED
+    values = keys[0]
+    while span < wide:
+        ranks = _ranks(values)
+        parts = min(63 // bits, -(-wide // span))
+        values = ranks
+        for i in range(1, parts):
+            # Beyond the end all is filled alike.
+            values = values << bits | np.concatenate([ranks[i * span :], np.full(min(i * span, m), ranks[-1])])[:m]
+        span *= parts
+    order = np.argsort(values[:n])
     return order, keys[:, order]
 
 
@@ -138,7 +162,7 @@ def occurrences(vocabulary: Vocabulary, chars: np.ndarray) -> tuple[np.ndarray,
     times = high - low
     within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     start, piece = order[np.repeat(low, times) + within], np.repeat(piece, times)
-    by_place = np.argsort(start, kind="stable")
+    by_place = np.argsort(start)
     return start[by_place], length[piece][by_place], piece[by_place]
 
 
@@ -180,7 +204,7 @@ def relax(vocabulary: Vocabulary, chars: np.ndarray, unit: np.ndarray) -> tuple[
         again[np.minimum(best + 1, len(end) - 1)] = False
         at, end, of = at[again], end[again], of[again]
     at, end = np.concatenate(done_at or [at]), np.concatenate(done_end or [end])
-    by_place = np.argsort(at, kind="stable")
+    by_place = np.argsort(at)
     at, end = at[by_place], end[by_place]
     return at, edge[at * wide + (end - at)] if len(at) else np.empty(0, np.int32)
 
@@ -282,12 +306,11 @@ class Encoder:
         found = self.learn(dict.fromkeys(u for units in split for u in units if u not in self.known))
         if len(self.known) + len(found) <= CACHE:
             self.known.update(found)
-            found = self.known
-        elif found:
-            found = {u: self.known.get(u) or found[u] for units in split for u in units}
-        else:
-            found = self.known
-        return [np.frombuffer(b"".join(map(found.__getitem__, units)), "<i4") for units in split]
+            found = {}
+        known = self.known.get
+        if not found:
+            return [np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<i4") for units in split]
+        return [np.frombuffer(b"".join([known(u) or found[u] for u in units]), "<i4") for units in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_all([ids])[0]
@@ -306,15 +329,15 @@ class Encoder:
         return [raw.decode("utf-8", "replace") for raw in out]
 
 
-_decoders: dict[int, Encoder] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def _decoder(model: bytes) -> Encoder:
-    """Built once per worker; being no iterator, the decoding shares a worker with other functions of the ids."""
+def _encoder(model: bytes) -> Encoder:
+    """Built once per worker, which keeps the units it has met from task to task."""
     key = zlib.crc32(model)
-    if key not in _decoders:
-        _decoders[key] = Encoder(model)
-    return _decoders[key]
+    if key not in _encoders:
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
 
 
 def sent_model(df: DataFrame, vocabulary: str | None = None):
@@ -329,7 +352,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value)
         for texts in batches:
             yield pd.Series(encoder.encode(texts), dtype=object)
 
@@ -342,7 +365,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
-        return pd.Series(_decoder(sent.value).decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
+        return pd.Series(_encoder(sent.value).decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))
 
@@ -356,7 +379,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("n_ids long, ids_crc32 long, decoded string")
     def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value)
         for texts in batches:
             out = []
             for some in bounded(texts):
