@@ -92,6 +92,51 @@ def test_sensitivity(spark):
     assert got[(1.0, "basket")] and not got[(0.0, "basket")] and not got[(1.0, "visits")]
 
 
+def odd_pair(spark):
+    """Nulls, NaN and repeats; `kind` and `size` get values by edits where they have none."""
+    made = spark.range(3000).select(
+        "id", F.when(F.col("id") % 11 > 0, F.col("id") % 97 / 7.0).alias("price"), F.when(F.col("id") % 13 > 0, (F.col("id") % 40).cast("int")).alias("size"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.col("id") % 4)).alias("kind"), (F.col("id") % 31 + F.when(F.col("id") % 7 == 0, float("nan")).otherwise(0.0)).alias("still"),
+    )
+    return made.where("id % 2 = 0"), made.where("id % 2 = 1")
+
+
+def test_sensitivity_equals_edited_copies_of_all_rows(spark):
+    from tidewatch.operators import drift
+    from tidewatch.operators.scenarios import Overwrite, Shrink, apply_edits, hash_share
+
+    ref, cur = odd_pair(spark)
+    edits = [Scale("price", 2.5, cap=20.0), Shrink("size", 0.3, floor=2), Overwrite("kind", "k1", 0.6), Scale("elsewhere", 2.0)]
+    strengths, features, share = [1.0, 0.0, 0.4], ["price", "size", "kind", "still"], hash_share(["id"], 7)
+    copies = cur.withColumn("strength", F.explode(F.array(*[F.lit(s) for s in strengths])))
+    copies = apply_edits(copies, edits, share, F.col("strength")).select("strength", *features)
+    want = drift.compare_windows(ref, copies, ["strength"], features)
+    got = drift_pass.sensitivity(ref, cur, edits, [*strengths, 0.4], share, features)
+    assert got.columns == want.columns
+
+    def listed(df):
+        rows = [r.asDict() for r in df.orderBy("strength", "feature").collect()]
+        return [{k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.items()} for r in rows], rows
+
+    assert len(listed(want)[1]) == 12 and listed(got)[1] == listed(want)[0]
+    empty = drift_pass.sensitivity(ref, cur.limit(0), edits, strengths, share, features).collect()
+    assert len(empty) == 12 and {r["status"] for r in empty} == {"no_data"}
+
+
+def test_sensitivity_reads_rows_once_for_any_number_of_strengths(spark):
+    ref, cur = odd_pair(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    watched = cur.mapInPandas(counting, cur.schema)
+    drift_pass.sensitivity(ref, watched, [Scale("price", 2.0)], [i / 10 for i in range(9)], F.lit(0.0), ["price", "still"]).collect()
+    assert read.value == cur.count()
+
+
 # ---- sources and assembly
 
 def raw_csv(tmp_path, n=200):

@@ -275,6 +275,14 @@ def window_counts(current: DataFrame, features: Sequence[str], text: set[str], b
     return _long(current, features, text, names).groupBy(*by, *CELL).agg(F.count(F.lit(1)).alias("o"))
 
 
+def value_counts(
+    counted: DataFrame, features: Sequence[str], text: set[str], by: Sequence[str], times: str, of: str
+) -> DataFrame:
+    """`window_counts` of rows that stand for `times` rows each and hold a value of the feature named in `of`."""
+    cells = _long(counted, features, text, [*by, times, of]).where(F.col("feature") == F.col(of))
+    return cells.groupBy(*by, *CELL).agg(F.sum(times).alias("o"))
+
+
 def compare_window_counts(
     baseline: DataFrame,
     cur: DataFrame,

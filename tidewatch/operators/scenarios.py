@@ -36,6 +36,10 @@ class Overwrite:
     def apply(self, share: Column, strength: Column) -> Column:
         return F.when(share < strength * self.fraction, F.lit(self.value)).otherwise(F.col(self.column))
 
+    def from_strength(self, share: Column, strengths: Sequence[float]) -> Column:
+        """The least of the strengths at which a row of this share is overwritten, else null."""
+        return F.array_min(F.array(*[F.when(share < s * self.fraction, F.lit(s)) for s in strengths]))
+
 
 @dataclass(frozen=True)
 class Shrink:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cooldown, drift, order, split
 from tidewatch.operators.drift import DriftConfig
-from tidewatch.operators.scenarios import Edit, apply_edits
+from tidewatch.operators.scenarios import Edit, Overwrite, apply_edits
 from tidewatch.session import stage
 
 NO_REFERENCE = "no_reference"
@@ -160,11 +161,40 @@ def sensitivity(
     features: Sequence[str] | None = None,
     config: DriftConfig = DriftConfig(),
 ) -> DataFrame:
-    """Which features are noticed when the edits are applied at several strengths; one job for all.
+    """Which features are noticed when the edits are applied at several strengths.
 
-    Each strength is a window of the same current rows, so the baseline is ordered once.
+    An edit depends on a value, and on a row's share only in so far as it says from which strength on the row is
+    overwritten. So the rows are read once and counted per value and such strength; the strengths are applied to
+    these counts. Features without an edit are tested once, for all strengths. Each strength is there once, also for
+    an empty table (`no_data`).
     """
     features = list(features or drift.common_features(baseline, current))
-    spread = current.withColumn("strength", F.explode(F.array(*[F.lit(float(s)) for s in strengths])))
-    shifted = apply_edits(spread, edits, share, F.col("strength")).select("strength", *features)
-    return drift.compare_windows(baseline, shifted, ["strength"], features, config)
+    strengths = sorted({float(s) for s in strengths})
+    by_column = {e.column: e for e in edits if e.column in features and e.column in current.columns}
+    edited = [f for f in features if f in by_column]
+    shape = apply_edits(current.limit(0), edits, share, 1.0)
+    text = drift.text_features(baseline, shape, features)
+    # One column per feature, filled in the rows of that feature only: edits find the column they name.
+    empty = {f: F.lit(None).cast(current.schema[f].dataType) for f in features}
+
+    def cell(name: str):
+        edit = by_column.get(name)
+        start = edit.from_strength(share, strengths) if isinstance(edit, Overwrite) else F.lit(None)
+        values = [(F.col(f) if f == name else empty[f]).alias(f) for f in features]
+        return F.struct(F.lit(name).alias("_of"), start.cast("double").alias("_from"), *values)
+
+    each = current.select(F.inline(F.array(*[cell(f) for f in features])))
+    counted = stage(each.groupBy("_of", "_from", *features).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+
+    each_strength = F.array(*[F.lit(s) for s in strengths])
+    needed = F.when(F.col("_of").isin(edited), each_strength).otherwise(F.array(F.lit(strengths[0])))
+    # From its strength on a row has a share below, before it one above any that decides.
+    turned = F.when(F.col("_from") <= F.col("strength"), F.lit(-1.0)).otherwise(F.lit(float("inf")))
+    shifted = apply_edits(counted.withColumn("strength", F.explode(needed)), list(by_column.values()), turned, F.col("strength"))
+    cur = stage(drift.value_counts(shifted, features, text, ["strength"], "_n", "_of"), "windows")
+    windows = current.sparkSession.createDataFrame([(s,) for s in strengths], "strength double")
+    tested = drift.compare_window_counts(baseline, cur, windows, ["strength"], features, text, config)
+    is_edited = F.col("feature").isin(edited)
+    same = tested.where(~is_edited & (F.col("strength") == strengths[0]))
+    copies = same.withColumn("strength", F.explode(each_strength))
+    return tested.where(is_edited).unionByName(copies)
