@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
@@ -329,21 +330,21 @@ class Encoder:
         return [raw.decode("utf-8", "replace") for raw in out]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(model: bytes) -> Encoder:
-    """Built once per worker, which keeps the units it has met from task to task."""
-    key = zlib.crc32(model)
-    if key not in _encoders:
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+def _encoder(call: str, model: bytes) -> Encoder:
+    """Built once per worker and call; keeps the units it has met from task to task, but not for later calls."""
+    if call not in _encoders:
+        _encoders.clear()
+        _encoders[call] = Encoder(model)
+    return _encoders[call]
 
 
 def sent_model(df: DataFrame, vocabulary: str | None = None):
-    """The content of a model file, sent out once."""
+    """A name for this call and the content of a model file, sent out once."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as file:
-        return df.sparkSession.sparkContext.broadcast(file.read())
+        return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, file.read()))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -352,7 +353,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(sent.value)
+        encoder = _encoder(*sent.value)
         for texts in batches:
             yield pd.Series(encoder.encode(texts), dtype=object)
 
@@ -365,7 +366,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
-        return pd.Series(_encoder(sent.value).decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
+        return pd.Series(_encoder(*sent.value).decode_all([np.asarray(x, np.int64) for x in rows]), dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))
 
@@ -379,7 +380,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("n_ids long, ids_crc32 long, decoded string")
     def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(sent.value)
+        encoder = _encoder(*sent.value)
         for texts in batches:
             out = []
             for some in bounded(texts):
