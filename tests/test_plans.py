@@ -376,6 +376,37 @@ def test_training_stops_when_patience_is_over(spark, monkeypatch):
     assert len(grown) == len(found.losses) - 1 == best + 4 and len(found.trees) == max(best, 1)
 
 
+def test_ways_of_boosting_agree_and_need_few_jobs(spark, monkeypatch):
+    from tidewatch.plans import boosting
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.normal(size=n).round(2), "c": rng.integers(0, 6, n), "w": rng.random(n) < 0.2})
+    pdf["y"] = ((pdf.a > 0.3) ^ (pdf.c == 4) | (rng.random(n) < 0.1)).astype(int)
+    params = training.BoostingParams(rounds=12, depth=3, rate=0.3)
+    frame = spark.createDataFrame(pdf).repartition(3).localCheckpoint()
+    context = spark.sparkContext
+
+    def fitted(name, **sizes):
+        with monkeypatch.context() as m:
+            for key, value in sizes.items():
+                m.setattr(boosting, key, value)
+            context.setJobGroup(name, name)
+            out = boosting.fit(frame, ["a"], {"c": 6}, params, "y", "w")
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(context.statusTracker().getJobIdsForGroup(name))
+
+    alone, few = fitted("alone")
+    held, some = fitted("held", TASK_ROWS=0, FILE_ROWS=500, CHUNK_ROWS=100)
+    by_key, many = fitted("by key", TASK_ROWS=0, TOLD_BYTES=0)
+    # Not a job per round; and a round starts with the sums of its first level.
+    assert few < 12 and some < many and some <= few + 12 * 3 + 8
+    for other in (held, by_key):
+        assert np.allclose(alone.losses, other.losses, atol=1e-9)
+        for x, y in zip(alone.trees, other.trees, strict=True):
+            assert (x.feature == y.feature).all() and (x.place == y.place).all() and np.allclose(x.value, y.value, atol=1e-9)
+
+
 def plain_boosting(x, codes, y, weight, rounds, depth, rate):
     """The same trees over whole rows on one machine: every threshold and category is tried by masks."""
     raw = np.zeros(len(y))

@@ -1,15 +1,20 @@
 """Second-order boosted trees as Spark jobs: histograms of gradients over binned rows, level by level.
 
-Rows are binned once: a number by cuts at its quantiles, a category by its index. They are written with their
-raw score; every ten rounds the scores are brought up to date and written again, so that no job evaluates more
-than ten trees, nothing rests on a cache, and a lost executor costs the tasks it ran. In each round the rows taken and
-the columns taken follow from hashes. A level of a tree is one job: every task adds up gradients and hessians per node,
-feature and bin, these are summed by key, and each task of the sum returns the best split of each node it saw, so that the
-driver gets one row per node and task. For a number the sums run up to each bin and for a category over
-it alone, so every summed cell is a split by itself. A category feature of any size costs one cell per row and
-is split into one category against the others; its first category has no column. Missing numbers go to the
-side on which they gain more. A table that fits one file of the state needs no job per level: the task that reads
-the file goes through the levels by itself, with the same histograms.
+Rows are binned once: a number by cuts at its quantiles, a category by its index, and written. In each round the
+rows taken and the columns taken follow from hashes. At a level of a tree every task adds up gradients and hessians per
+node, feature and bin. For a number the sums run up to each bin and for a category over it alone, so every summed
+cell is a split by itself; a category feature is split into one category against the others, and its first category
+has no column. Missing numbers go to the side on which they gain more.
+
+Rows and their scores are held as arrays in the partitions of a persisted RDD. A level is one job over it: each
+partition gives its sums, which are added up in the order of the partitions, so that the driver gets one histogram of
+a level per partition. Behind each tree the scores are brought up to date in a new RDD, and every ten rounds this is
+checkpointed, so that a lost executor costs the rounds since then. A table of at most TASK_ROWS rows needs
+no job per level: the task that reads it goes through the rounds by itself, with the same histograms.
+
+Where the sums are too many for the driver (categories of any size cost one cell per row), they go by key to tasks that
+return the best split of each node they saw. There the rows are written with their score, and every ten rounds anew, so
+that no job evaluates more than ten trees.
 
 A round begins with the sums of all gradients and the loss of the rows that watch; training ends in the round
 in which that loss had its least value long enough ago, and no later round is fitted.
@@ -17,12 +22,14 @@ in which that loss had its least value long enough ago, and no later round is fi
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +44,16 @@ LEAF_PENALTY, LEAST_HESSIAN = 1.0, 1.0
 LEAST_GAIN = 1e-6
 # Trees a task evaluates on top of the written scores, at most.
 WRITTEN_EVERY = 10
+# Rows up to which a single task goes through all rounds, about 100 bytes each.
+TASK_ROWS = 1 << 20
 # Rows of the state in a file, about; each file is read by a task of its own.
-TASK_ROWS = 1 << 17
+FILE_ROWS = 1 << 17
+# Rows a task works on at once, and rows of a held partition, at most.
+CHUNK_ROWS, PART_ROWS = 1 << 16, 1 << 23
+# Bytes of sums that the driver gets at once, at most.
+TOLD_BYTES = 1 << 25
+# Cells up to which sums and routes have an array with all places.
+DENSE = 1 << 20
 # Columns up to which a round takes the exact share of them; beyond, a hash decides each one.
 COUNTED_COLUMNS = 1 << 16
 MISSING = -1
@@ -86,16 +101,31 @@ class Tree:
         node = np.ones(len(bins), np.int64)
         going = np.arange(len(bins)) if self.feature[1] >= 0 else np.empty(0, np.int64)
         while len(going):
-            at = node[going]
-            feature, place = self.feature[at], self.place[at]
-            held = bins[going, feature]
-            left = np.where(feature < numbers, held <= place, held != place)
-            absent = (feature < numbers) & (held == MISSING)
-            left = np.where(absent, self.missing_left[at], left)
-            node[going] = 2 * at + ~left
+            self.step(bins, numbers, node, going)
             going = going[self.feature[node[going]] >= 0]
         return node
 
+    def step(self, bins: np.ndarray, numbers: int, node: np.ndarray, going: np.ndarray) -> None:
+        """Put the rows `going`, whose nodes are split, one level lower in `node`."""
+        at = node[going]
+        feature, place = self.feature[at], self.place[at]
+        held = bins[going, feature]
+        left = np.where(feature < numbers, held <= place, held != place)
+        absent = (feature < numbers) & (held == MISSING)
+        left = np.where(absent, self.missing_left[at], left)
+        node[going] = 2 * at + ~left
+
+    def below(self, numbers: int, width: int) -> np.ndarray:
+        """The node one level lower by node and bin, a missing one first; leaves stay."""
+        out = np.repeat(np.arange(len(self.feature))[:, None], width, axis=1)
+        bins = np.arange(-1, width - 1)
+        for node in np.nonzero(self.feature >= 0)[0].tolist():
+            left = bins <= self.place[node] if self.feature[node] < numbers else bins != self.place[node]
+            if self.feature[node] < numbers:
+                left[0] = self.missing_left[node]
+            out[node] = 2 * node + ~left
+        return out
+
 
 def _mixed(*parts: int | np.ndarray) -> np.ndarray:
     """A 64-bit hash of integers, the same in every task, as a share of 1."""
@@ -199,21 +229,36 @@ class _Round:
     def gradients(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bins, gradients and hessians of the rows this round learns from."""
         bins, raw = self.scores(batch)
-        taken = ~np.asarray(batch.column("watches").to_numpy(zero_copy_only=False))
-        if self.row_share < 1:
-            taken &= _mixed(self.seed, -1 - self.number, np.asarray(batch.column("row"))) < self.row_share
-        p = 1 / (1 + np.exp(-raw[taken]))
-        weight = np.asarray(batch.column("weight"))[taken]
-        return bins[taken], weight * (p - np.asarray(batch.column("y"))[taken]), weight * p * (1 - p)
+        taken = self.taken(np.asarray(batch.column("row")), _watches(batch))
+        return bins[taken], *_gradients(raw[taken], *(np.asarray(batch.column(c))[taken] for c in ("y", "weight")))
+
+    def taken(self, row: np.ndarray, watches: np.ndarray) -> np.ndarray:
+        """Which rows this round learns from."""
+        if self.row_share >= 1:
+            return ~watches
+        return ~watches & (_mixed(self.seed, -1 - self.number, row) < self.row_share)
+
+
+def _watches(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("watches").to_numpy(zero_copy_only=False))
+
+
+def _gradients(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-raw))
+    return weight * (p - y), weight * p * (1 - p)
+
+
+def _log_loss(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of the log losses, and their number."""
+    return np.array([np.logaddexp(0, np.where(y == 1, -raw, raw)).sum(), len(raw)])
 
 
 def _loss(of: _Round, batch: pa.RecordBatch) -> np.ndarray:
     """Log loss of the watching rows, and their number."""
-    watches = np.asarray(batch.column("watches").to_numpy(zero_copy_only=False))
+    watches = _watches(batch)
     if not watches.any():
         return np.zeros(2)
-    raw, y = of.scores(batch)[1][watches], np.asarray(batch.column("y"))[watches]
-    return np.array([np.logaddexp(0, np.where(y == 1, -raw, raw)).sum(), len(raw)])
+    return _log_loss(of.scores(batch)[1][watches], np.asarray(batch.column("y"))[watches])
 
 
 def _begin(sent):
@@ -239,27 +284,48 @@ class _Histogram:
 
     def __init__(self, of: _Round):
         self.of, count = of, len(of.nodes)
-        self.local = np.full(2 << of.tree.depth, -1, np.int64)
+        # Rows in nodes of other levels are counted behind those of this one, and left out.
+        self.local = np.full(2 << of.tree.depth, count, np.int64)
         self.local[of.nodes] = np.arange(count)
         self.places = max([len(c) + 1 for c in of.layout.cuts], default=0)
         self.total = np.zeros((count, of.numbers, self.places + 1, 2))
+        self.codes = {i: np.zeros((count, n + 1, 2)) for i, n in enumerate(of.layout.sizes) if (count + 1) * (n + 1) <= DENSE}
         self.sparse = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
 
-    def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray) -> None:
+        """Rows, as one line of bins per feature, with their nodes."""
         of, count, places = self.of, len(self.of.nodes), self.places
-        node = self.local[of.tree.route(bins, of.numbers)]
-        bins, g, h, node = (x[node >= 0] for x in (bins, g, h, node))
-        for i in range(of.numbers):
-            held = np.where(bins[:, i] == MISSING, places, bins[:, i])
-            key = node * (places + 1) + held
+        node = self.local[node]
+
+        def summed(held: np.ndarray, width: int, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            key = start + held
             for k, x in enumerate((g, h)):
-                self.total[:, i, :, k] += np.bincount(key, x, count * (places + 1)).reshape(count, -1)
-        for i in range(len(of.layout.sizes)):
-            code = bins[:, of.numbers + i].astype(np.int64)
-            # Unknown categories are on the side of the others, the first one has no column.
-            some = code > 0
-            owner = node[some] * len(of.layout.sizes) + i
-            self.sparse = _summed([np.append(x, y) for x, y in zip(self.sparse, (owner, code[some], g[some], h[some]))])
+                yield k, np.bincount(key, x, (count + 1) * width).reshape(count + 1, -1)[:count]
+
+        start = node * (places + 1) + 1
+        for i in range(of.numbers):
+            # Missing ones come first here, and last in the total.
+            for k, sums in summed(bins[i], places + 1, start):
+                self.total[:, i, :-1, k] += sums[:, 1:]
+                self.total[:, i, -1, k] += sums[:, 0]
+        for i, size in enumerate(of.layout.sizes):
+            if i in self.codes:
+                for k, sums in summed(bins[of.numbers + i], size + 1, node * (size + 1) + 1):
+                    self.codes[i][:, :, k] += sums
+            else:
+                code = bins[of.numbers + i].astype(np.int64)
+                some = np.nonzero((code > 0) & (node < count))[0]
+                self.put(node[some] * len(of.layout.sizes) + i, code[some], g[some], h[some])
+
+    def put(self, *sparse: np.ndarray) -> None:
+        """Add sums of categories: owner (node and feature), code, gradients and hessians."""
+        self.sparse = _summed([np.append(x, y) for x, y in zip(self.sparse, sparse)])
+
+    def merge(self, total: np.ndarray, codes: dict[int, np.ndarray], sparse: list[np.ndarray]) -> None:
+        """Add the sums of other rows."""
+        self.total = self.total + total
+        self.codes = {i: x + codes[i] for i, x in self.codes.items()}
+        self.put(*sparse)
 
     def cells(self) -> list[np.ndarray]:
         of, total = self.of, self.total
@@ -272,6 +338,11 @@ class _Histogram:
                 there[:, i, len(cuts) + 1 :] = False
             node, feature, place = np.nonzero(there)
             out = [of.nodes[node], feature, place, *run[node, feature, place].T, *total[node, feature, -1].T]
+        for i, sums in self.codes.items():
+            # Unknown categories are on the side of the others, the first one has no column.
+            node, code = np.nonzero(sums[:, 2:].any(axis=2))
+            self.put(node * len(of.layout.sizes) + i, code + 1, *sums[node, code + 2].T)
+        self.codes = {}
         owner, code, g, h = self.sparse
         if len(owner):
             sizes, zero = len(of.layout.sizes), np.zeros(len(owner))
@@ -288,7 +359,8 @@ def _cells(sent):
         of = sent.value
         held = _Histogram(of)
         for batch in batches:
-            held.add(*of.gradients(batch))
+            bins, g, h = of.gradients(batch)
+            held.add(bins.T, g, h, of.tree.route(bins, of.numbers))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.cells()], names=_CELL_NAMES)
 
     return run
@@ -387,58 +459,245 @@ def _level_by_jobs(state: DataFrame, of: _Round) -> Found:
     return held
 
 
-TREE = "loss double, watched double, feature array<int>, place array<long>, missing_left array<boolean>, value array<double>, gain array<double>"
+@dataclass
+class _Progress:
+    """The trees fitted so far, and the losses of the watching rows before the first one and after each."""
+
+    params: object
+    trees: list[Tree] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
+
+    def ended(self, loss: float, watched: float) -> bool:
+        """Note the loss behind the trees, and tell whether no tree is fitted any more."""
+        if watched:
+            self.losses.append(loss / watched)
+        enough = len(self.trees) == self.params.rounds
+        return enough or bool(self.losses) and int(np.argmin(self.losses)) + self.params.patience <= len(self.trees)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in bytes, if they fit."""
+    few = x.astype(np.int8)
+    return few if np.array_equal(few, x) else x
+
+
+class _Chunk:
+    """Rows with their raw scores, and with their nodes in the tree that grows."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.bins, self.row, self.y, self.weight, self.raw, self.watches = columns
+        self.at, self.node = np.arange(len(self.row)), np.ones(len(self.row), np.int64)
+
+    def __reduce__(self):
+        return _Chunk, (self.bins, self.row, self.y, self.weight, self.raw, self.watches)
+
+    def begin(self, of: _Round) -> np.ndarray:
+        """Sums of the gradients, the hessians and the losses, and the number of rows that watch."""
+        taken = of.taken(self.row, self.watches)
+        self.g, self.h = (np.where(taken, x, 0.0) for x in _gradients(self.raw, self.y, self.weight))
+        loss = _log_loss(self.raw[self.watches], self.y[self.watches])
+        return np.array([self.g[taken].sum(), self.h[taken].sum(), *loss])
+
+    def follow(self, tree: Tree, numbers: int, below: np.ndarray | None) -> None:
+        """Rows in nodes that are split go one level down."""
+        if below is None:
+            tree.step(self.bins.T, numbers, self.node, np.nonzero(tree.feature[self.node] >= 0)[0])
+        else:
+            line = np.maximum(tree.feature, 0).astype(np.int64) * len(self.row)
+            held = self.bins.ravel()[line[self.node] + self.at]
+            self.node = below.ravel()[self.node * below.shape[1] + 1 + held]
+
+    def end(self, tree: Tree) -> None:
+        self.raw = self.raw + tree.value[self.node]
+        self.node = np.ones(len(self.row), np.int64)
+
+
+def _width(layout: Layout) -> int:
+    """Places of a bin: those of numbers or categories, and the missing one."""
+    return max([*(len(c) + 1 for c in layout.cuts), *layout.sizes], default=0) + 1
 
 
-def _whole(sent, depth: int, rate: float):
-    """A round over a state of one file: the levels follow one another in the task that has read it."""
+def _chunks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[_Chunk]:
+    kind, parts = np.int16 if _width(layout) < 1 << 15 else np.int32, []
+    names, features = ("row", "y", "weight", "raw"), len(layout.cuts) + len(layout.sizes)
+
+    def chunk() -> _Chunk:
+        bins, row, y, weight, raw, watches = (np.concatenate(x) for x in zip(*parts))
+        return _Chunk(np.ascontiguousarray(bins.T), row, _small(y), _small(weight), raw, watches)
+
+    for b in batches:
+        parts.append([_matrix(b, features).astype(kind), *[np.asarray(b.column(c)) for c in names], _watches(b)])
+        if sum(len(x[1]) for x in parts) >= CHUNK_ROWS:
+            yield chunk()
+            parts = []
+    if parts:
+        yield chunk()
+
+
+def _followed(chunk: _Chunk, tree: Tree, layout: Layout, levels: int, below: np.ndarray | None) -> _Chunk:
+    for _ in range(levels):
+        chunk.follow(tree, len(layout.cuts), below)
+    return chunk
+
+
+def _below(tree: Tree, layout: Layout) -> np.ndarray | None:
+    return tree.below(len(layout.cuts), _width(layout)) if len(tree.feature) * _width(layout) <= DENSE else None
+
+
+TREE = "number int, loss double, watched double, feature array<int>, place array<long>, missing_left array<boolean>, value array<double>, gain array<double>"
+_TREE_NAMES = ("feature", "place", "missing_left", "value", "gain")
+
+
+def _whole(sent):
+    """All rounds over a small state, in the task that has read it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, loss, parts = sent.value, np.zeros(2), []
-        for batch in batches:
-            parts.append(of.gradients(batch))
-            loss += _loss(of, batch)
-        if not parts:
-            return
-        bins, g, h = (np.concatenate(x) for x in zip(*parts))
+        layout, progress = sent.value
+        params, told = progress.params, []
+        chunks = list(_chunks(batches, layout))
+
+        def follow(tree: Tree) -> None:
+            below = _below(tree, layout)
+            for chunk in chunks:
+                _followed(chunk, tree, layout, 1, below)
 
         def best() -> Found:
+            if of.nodes[0] > 1:
+                follow(of.tree)
             histogram, held = _Histogram(of), {}
-            histogram.add(bins, g, h)
+            for chunk in chunks:
+                histogram.add(chunk.bins, chunk.g, chunk.h, chunk.node)
             _best_of(of, histogram.cells(), held)
             return held
 
-        tree = _grow(of, g.sum(), h.sum(), depth, rate, best)
-        arrays = [tree.feature, tree.place, tree.missing_left, tree.value, tree.gain]
-        names = [c.split()[0] for c in TREE.split(", ")]
-        columns = [pa.array([loss[0]]), pa.array([loss[1]]), *[pa.array([x.tolist()], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in arrays]]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        while True:
+            of = _Round(layout, len(progress.trees), params.seed, params.row_share, params.column_share, [])
+            g, h, loss, watched = sum((chunk.begin(of) for chunk in chunks), np.zeros(4)).tolist()
+            told.append((loss, watched))
+            if progress.ended(loss, watched):
+                break
+            tree = _grow(of, g, h, params.depth, params.rate, best)
+            # Splits of the last level were not followed yet.
+            follow(tree)
+            for chunk in chunks:
+                chunk.end(tree)
+            progress.trees.append(tree)
+        kinds = [getattr(Tree(0), name).dtype for name in _TREE_NAMES]
+        cells = [[*(getattr(t, name).tolist() for t in progress.trees), None] for name in _TREE_NAMES]
+        columns = [pa.array(range(len(told)), pa.int32()), *[pa.array(x, pa.float64()) for x in zip(*told)]]
+        columns += [pa.array(x, pa.list_(pa.from_numpy_dtype(k))) for x, k in zip(cells, kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TREE.split(", ")])
 
     return run
 
 
-def _round_by_one_task(state: DataFrame, of: _Round, depth: int, rate: float) -> tuple[float, float, Tree]:
-    sent = state.sparkSession.sparkContext.broadcast(of)
-    # One row, or none; first() would end the Python worker before its time.
-    rows = state.coalesce(1).mapInArrow(_whole(sent, depth, rate), TREE).collect()
+def _fit_by_one_task(state: DataFrame, layout: Layout, progress: _Progress) -> None:
+    sent = state.sparkSession.sparkContext.broadcast((layout, progress))
+    # first() would end the Python worker before its time.
+    found = state.coalesce(1).mapInArrow(_whole(sent), TREE).collect()
     sent.unpersist()
-    tree = Tree(depth)
-    if not rows:
-        return 0.0, 0.0, tree
-    (row,) = rows
-    for name in ("feature", "place", "missing_left", "value", "gain"):
-        setattr(tree, name, np.array(row[name], getattr(tree, name).dtype))
-    return row["loss"], row["watched"], tree
+    for row in sorted(found, key=lambda r: r["number"]):
+        if not progress.ended(row["loss"], row["watched"]):
+            tree = Tree(progress.params.depth)
+            for name in _TREE_NAMES:
+                setattr(tree, name, np.array(row[name], getattr(tree, name).dtype))
+            progress.trees.append(tree)
+
+
+def _partitions(spark: SparkSession, rows: int, layout: Layout, depth: int) -> int:
+    """How many partitions hold the rows; 0 if their sums would be too many for the driver."""
+    cells = max(1, 1 << depth - 1) * (sum(len(c) + 2 for c in layout.cuts) + sum(layout.sizes))
+    told = TOLD_BYTES // (16 * cells)
+    least = max(2, -(-rows // PART_ROWS))
+    files = -(-rows // FILE_ROWS)
+    return max(least, min(files, spark.sparkContext.defaultParallelism, told)) if least <= told else 0
 
 
-def _round_by_jobs(state: DataFrame, of: _Round, depth: int, rate: float, stop) -> tuple[float, float, Tree | None]:
-    """The same by a job per level; none is started if the loss says that training ends."""
+def _packed(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, layout):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chunk)], pa.binary())], names=["chunk"])
+
+    return run
+
+
+def _sums(held: RDD, of: _Round, levels: int) -> tuple[np.ndarray, _Histogram]:
+    """Sums of a round as `_Chunk.begin` has them, and the histogram of the level that `of` is at."""
+
+    def run(chunks: Iterator[_Chunk]) -> Iterator[tuple]:
+        begun, histogram, below = np.zeros(4), _Histogram(of), _below(of.tree, of.layout)
+        for chunk in chunks:
+            begun += chunk.begin(of)
+            _followed(chunk, of.tree, of.layout, levels, below)
+            histogram.add(chunk.bins, chunk.g, chunk.h, chunk.node)
+        yield begun, histogram.total, histogram.codes, histogram.sparse
+
+    begun, histogram = np.zeros(4), _Histogram(of)
+    for more, *sums in held.mapPartitions(run).collect():
+        begun += more
+        histogram.merge(*sums)
+    return begun, histogram
+
+
+def _advance(held: RDD, tree: Tree, layout: Layout) -> RDD:
+    """The rows with the scores behind one more tree."""
+
+    def run(chunks: Iterator[_Chunk]) -> Iterator[_Chunk]:
+        below = _below(tree, layout)
+        for chunk in chunks:
+            _followed(chunk, tree, layout, tree.depth, below).end(tree)
+            yield chunk
+
+    return held.mapPartitions(run, preservesPartitioning=True)
+
+
+def _fit_held(state: DataFrame, layout: Layout, progress: _Progress, partitions: int) -> None:
+    """All rounds by jobs over a persisted RDD of chunks."""
+    spark, params, trees = state.sparkSession, progress.params, progress.trees
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "boosting-checkpoint"))
+    # In their order, so that a partition that is built again adds up the same.
+    rows = state.repartition(partitions, "row").sortWithinPartitions("row")
+    held = rows.mapInArrow(_packed(layout), "chunk binary").rdd.map(lambda r: pickle.loads(bytes(r["chunk"])))
+    held, before, behind = held.persist(StorageLevel.MEMORY_AND_DISK), None, None
+    while True:
+        of = _Round(layout, len(trees), params.seed, params.row_share, params.column_share, [])
+        of.tree, of.nodes = Tree(params.depth), np.ones(1, np.int64)
+        begun, root = _sums(held, of, 0)
+        if before is not None:
+            before.unpersist()
+        g, h, loss, watched = begun.tolist()
+        if progress.ended(loss, watched):
+            break
+
+        def best() -> Found:
+            level, found = int(of.nodes[0]).bit_length() - 1, {}
+            _best_of(of, (_sums(held, of, level)[1] if level else root).cells(), found)
+            return found
+
+        tree = _grow(of, g, h, params.depth, params.rate, best)
+        trees.append(tree)
+        before, held = held, _advance(held, tree, layout).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(trees) % WRITTEN_EVERY == 0:
+            held.checkpoint()
+            held.count()
+            if behind:
+                tables.drop_path(spark, behind)
+            behind = held.getCheckpointFile()
+    held.unpersist()
+    if behind:
+        tables.drop_path(spark, behind)
+
+
+def _round_by_jobs(state: DataFrame, of: _Round, progress: _Progress) -> Tree | None:
+    """A round by a job per level; none is started if the loss says that training ends."""
     sent = state.sparkSession.sparkContext.broadcast(of)
     begun = state.mapInArrow(_begin(sent), "g double, h double, loss double, n double")
     g, h, loss, watched = sum((np.array(list(r)) for r in begun.collect()), np.zeros(4))
     sent.unpersist()
-    tree = None if stop(loss, watched) else _grow(of, g, h, depth, rate, lambda: _level_by_jobs(state, of))
-    return loss, watched, tree
+    if progress.ended(loss, watched):
+        return None
+    return _grow(of, g, h, progress.params.depth, progress.params.rate, lambda: _level_by_jobs(state, of))
 
 
 def _advanced(sent):
@@ -452,6 +711,27 @@ def _advanced(sent):
     return run
 
 
+def _fit_by_jobs(state: DataFrame, layout: Layout, progress: _Progress) -> None:
+    """All rounds by a job per level, over rows that are read anew in each."""
+    spark, params, trees = state.sparkSession, progress.params, progress.trees
+    written, behind = 0, None
+    while True:
+        of = _Round(layout, len(trees), params.seed, params.row_share, params.column_share, trees[written:])
+        tree = _round_by_jobs(state, of, progress)
+        if tree is None:
+            break
+        trees.append(tree)
+        if len(trees) - written >= WRITTEN_EVERY:
+            of = _Round(layout, len(trees), params.seed, 1.0, 1.0, trees[written:])
+            sent, path = spark.sparkContext.broadcast(of), shared_path(spark, "boosting")
+            state.mapInArrow(_advanced(sent), STATE).write.parquet(path)
+            if behind:
+                tables.drop_path(spark, behind)
+            state, behind, written = spark.read.schema(STATE).parquet(path), path, len(trees)
+    if behind:
+        tables.drop_path(spark, behind)
+
+
 @dataclass
 class Ensemble:
     layout: Layout
@@ -474,19 +754,21 @@ class Ensemble:
         ml, width = jvm.org.apache.spark.ml, self.layout.width
         stats = gateway.new_array(gateway.jvm.double, 3)
         noted = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(stats, 0)
+        # Looked up once: each name of a package is a call of its own, and there are thousands of nodes.
+        leaf, inner, continuous = ml.tree.LeafNode, ml.tree.InternalNode, ml.tree.ContinuousSplit
 
         def node(tree: Tree, at: int):
             if tree.feature[at] < 0:
-                return ml.tree.LeafNode(float(tree.value[at]), 0.0, noted)
+                return leaf(float(tree.value[at]), 0.0, noted)
             feature, place = int(tree.feature[at]), int(tree.place[at])
             is_number = feature < len(self.layout.cuts)
             cuts = self.layout.cuts[feature] if is_number else None
             # The last bin has no cut above it: all that isn't missing goes left.
             threshold = (float(cuts[place]) if place < len(cuts) else float("inf")) if is_number else 0.5
             column = int(self.layout.column(np.array([feature]), np.array([place]))[0])
-            split = ml.tree.ContinuousSplit(column, threshold)
+            split = continuous(column, threshold)
             left, right = node(tree, 2 * at), node(tree, 2 * at + 1)
-            return ml.tree.InternalNode(float(tree.value[at]), 0.0, float(tree.gain[at]), left, right, split, noted)
+            return inner(float(tree.value[at]), 0.0, float(tree.gain[at]), left, right, split, noted)
 
         trees = self.trees or [Tree(0)]
         kind = gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
@@ -518,40 +800,17 @@ def fit(
     given = rows.withColumn("y", F.col(target).cast("double")).withColumn("watches", F.col(watching) if watching else F.lit(False))
     given = given.where("y is not null")
     layout = Layout(find_cuts(given.where("not coalesce(watches, false)"), numbers), list(categories.values()))
-    trees: list[Tree] = []
-    losses: list[float] = []
+    progress = _Progress(params)
     with temporary_tables(spark):
         binned = _binned(given, numbers, list(categories), layout, params.positive_weight)
-        files = -(-given.count() // TASK_ROWS)
-        state = stage(binned.repartition(max(1, files), "row"), "boosting")
-        written, behind = 0, None
-
-        def ended(loss: float, watched: float) -> bool:
-            """Whether no tree is fitted any more, given the loss behind those that are."""
-            gone = losses + [loss / watched] if watched else losses
-            return len(trees) == params.rounds or bool(gone) and int(np.argmin(gone)) + params.patience <= len(trees)
-
-        while True:
-            of = _Round(layout, len(trees), params.seed, params.row_share, params.column_share, trees[written:])
-            if files <= 1:
-                loss, watched, tree = _round_by_one_task(state, of, params.depth, params.rate)
-            else:
-                loss, watched, tree = _round_by_jobs(state, of, params.depth, params.rate, ended)
-            over = ended(loss, watched)
-            if watched:
-                losses.append(loss / watched)
-            if over:
-                break
-            trees.append(tree)
-            if len(trees) - written >= WRITTEN_EVERY:
-                of = _Round(layout, len(trees), params.seed, 1.0, 1.0, trees[written:])
-                sent, path = spark.sparkContext.broadcast(of), shared_path(spark, "boosting")
-                state.mapInArrow(_advanced(sent), STATE).write.parquet(path)
-                if behind:
-                    tables.drop_path(spark, behind)
-                state, behind, written = spark.read.schema(STATE).parquet(path), path, len(trees)
-        if behind:
-            tables.drop_path(spark, behind)
+        rows_given = given.count()
+        state = stage(binned.repartition(max(1, -(-rows_given // FILE_ROWS)), "row"), "boosting")
+        if rows_given <= TASK_ROWS:
+            _fit_by_one_task(state, layout, progress)
+        elif partitions := _partitions(spark, rows_given, layout, params.depth):
+            _fit_held(state, layout, progress, partitions)
+        else:
+            _fit_by_jobs(state, layout, progress)
+    trees, losses = progress.trees, progress.losses
     kept = int(np.argmin(losses)) if losses else len(trees)
     return Ensemble(layout, trees[: max(kept, 1)], losses)
-
