@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import frame, sample_texts, with_repeats
 
@@ -92,3 +93,29 @@ def test_merge_sort_and_equal_hashes():
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_a_worker_hands_contexts_on_in_bounded_pieces(monkeypatch):
+    texts = pd.Series(shared_passages(3))
+    batch = pd.DataFrame({"k1": range(len(texts)), "k2": 0, "text": texts})
+    batch["shared"] = [np.unique(substrings.anchors(substrings._bytes(t), 40, 8)[0]) for t in texts]
+    names = [c.split()[0] for c in substrings.OCCURRENCES.split(", ")]
+    whole = pd.concat(substrings._occurrences(40, 8)([batch]), ignore_index=True)
+    monkeypatch.setattr(substrings, "HANDED_ON", 1000, raising=False)
+    parts = list(substrings._occurrences(40, 8)([batch]))
+    assert len(parts) > 5 and max(p.context.dropna().map(len).sum() for p in parts) < 1000 + max(map(len, texts)) * 2
+    got = pd.concat(parts, ignore_index=True)
+    assert got[names].values.tolist() == whole[names].values.tolist()
+    # Few windows in many bytes are bounded as well, with the same runs.
+    classes = got.dropna(subset="context").sort_values("g", kind="stable").assign(times=1).reset_index(drop=True)
+    calls, compare = [], substrings.compare
+
+    def counted(rows, length):
+        calls.append(int(rows.context.map(len).sum()))
+        return compare(rows, length)
+
+    monkeypatch.setattr(substrings, "compare", counted)
+    at_once = pd.concat(substrings._comparer(40)([classes]))
+    monkeypatch.setattr(substrings, "SORTED_BYTES", 500, raising=False)
+    in_parts = pd.concat(substrings._comparer(40)([classes]))
+    assert len(calls) > 3 and at_once.reset_index(drop=True).equals(in_parts.reset_index(drop=True))
