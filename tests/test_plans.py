@@ -590,3 +590,44 @@ def test_a_pass_in_parts_equals_one_pass(spark, by, tmp_path):
     got = handler.read(spark, "windows").orderBy("window_id").collect()
     assert [(r["window_id"], r["dataset_drift"], r["fired"]) for r in got] == want
     assert [f for *_, f in want] == [True, False, False, True, False, True]
+
+
+def test_boosting_works_on_cells_not_on_rows(spark, monkeypatch):
+    from tidewatch.plans import boosting
+
+    rng = np.random.default_rng(12)
+    n = 4000
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, n).astype(float), "c": rng.integers(0, 3, n), "w": rng.random(n) < 0.2})
+    pdf.loc[rng.random(n) < 0.1, "a"] = np.nan
+    pdf["y"] = ((pdf.a > 4) ^ (pdf.c == 2) | (rng.random(n) < 0.1)).astype(int)
+    frame = spark.createDataFrame(pdf).repartition(3).localCheckpoint()
+    params = training.BoostingParams(rounds=8, depth=3, rate=0.3)
+    alone = boosting.fit(frame, ["a"], {"c": 3}, params, "y", "w")
+    cells, advance = [], boosting._advance
+
+    def counted(held, *given):
+        if not cells:
+            cells.extend(held.map(lambda x: (len(x.first), len(x.row), len(x.raw))).collect())
+        return advance(held, *given)
+
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    monkeypatch.setattr(boosting, "FILE_ROWS", 1000)
+    monkeypatch.setattr(boosting, "_advance", counted)
+    held = boosting.fit(frame, ["a"], {"c": 3}, params, "y", "w")
+    # Ten bins, three categories, two outcomes, two uses; a cell may lie in two partitions.
+    assert sum(c[1] for c in cells) == n and sum(c[0] for c in cells) <= 10 * 3 * 2 * 2 + 8 and all(c[0] == c[2] for c in cells)
+    assert np.allclose(alone.losses, held.losses, atol=1e-9) and len(alone.trees) == len(held.trees)
+    for x, y in zip(alone.trees, held.trees):
+        assert (x.feature == y.feature).all() and (x.place == y.place).all() and np.allclose(x.value, y.value, atol=1e-9)
+
+
+def test_rows_are_taken_by_their_hash():
+    from tidewatch.plans import boosting
+
+    row = np.random.default_rng(13).integers(0, 1 << 60, 70_000)
+    for share, seed, number in [(0.8, 42, 0), (0.5, -7, 299), (1 / 3, 42, 17)]:
+        wanted = boosting._mixed(seed, -1 - number, row) < share
+        assert (boosting.rows_taken(row, share, seed, number) == wanted).all() and abs(wanted.mean() - share) < 0.01
+    for share in (0.8, 0.5, 1 / 3):
+        beyond = boosting._first_beyond(share)
+        assert np.uint64(beyond) / 2.0**64 >= share > np.uint64(beyond - 1) / 2.0**64

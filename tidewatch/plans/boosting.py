@@ -6,8 +6,10 @@ node, feature and bin. For a number the sums run up to each bin and for a catego
 cell is a split by itself; a category feature is split into one category against the others, and its first category
 has no column. Missing numbers go to the side on which they gain more.
 
-Rows and their scores are held as arrays in the partitions of a persisted RDD. A level is one job over it: each
-partition gives its sums, which are added up in the order of the partitions, so that the driver gets one histogram of
+Rows that agree in bins, outcome and use have the same score throughout: they are a cell, which is scored, routed and
+added up once, and a round only counts how many of its rows it takes. Cells with their scores and rows are held as
+arrays in the partitions of a persisted RDD, cut along the cells but not by them, so that a very common one is spread
+over partitions. A round draws its gradients from it, and a level is one job over these: each partition gives its sums, which are added up in the order of the partitions, so that the driver gets one histogram of
 a level per partition. Behind each tree the scores are brought up to date in a new RDD, and every ten rounds this is
 checkpointed, so that a lost executor costs the rounds since then. A table of at most TASK_ROWS rows needs
 no job per level: the task that reads it goes through the rounds by itself, with the same histograms.
@@ -26,6 +28,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,10 @@ WRITTEN_EVERY = 10
 TASK_ROWS = 1 << 20
 # Rows of the state in a file, about; each file is read by a task of its own.
 FILE_ROWS = 1 << 17
-# Rows a task works on at once, and rows of a held partition, at most.
-CHUNK_ROWS, PART_ROWS = 1 << 16, 1 << 23
+# Cells a task works on at once, rows of such a cell on average, and rows of a held partition, at most.
+CHUNK_ROWS, CELL_ROWS, PART_ROWS = 1 << 16, 1 << 4, 1 << 23
+# Rows whose hashes are made at once: so few that they stay in a processor's cache.
+HASHED_ROWS = 1 << 14
 # Bytes of sums that the driver gets at once, at most.
 TOLD_BYTES = 1 << 25
 # Cells up to which sums and routes have an array with all places.
@@ -139,6 +144,38 @@ def _mixed(*parts: int | np.ndarray) -> np.ndarray:
     return out / 2.0**64
 
 
+@cache
+def _first_beyond(share: float) -> int:
+    """The least 64-bit hash that isn't below a share of 1, as `_mixed` gives it."""
+    low, high = 0, 1 << 64
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if np.uint64(middle) / 2.0**64 < share else (low, middle)
+    return low
+
+
+def rows_taken(row: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
+    """Which rows a round takes: those whose `_mixed(seed, -1 - number, row)` is below the share."""
+    least = _first_beyond(share)
+    if least == 1 << 64:
+        return np.ones(len(row), bool)
+    known, last = 0, (1 << 64) - 1
+    for part in (seed, -1 - number):
+        known = ((known ^ part & last) + 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & last
+        known = (known ^ known >> 27) * 0x94D049BB133111EB & last
+        known ^= known >> 31
+    out, row = np.empty(len(row), bool), row.view(np.uint64)
+    for low in range(0, len(row), HASHED_ROWS):
+        mixed = row[low : low + HASHED_ROWS] ^ np.uint64(known)
+        mixed += np.uint64(0x9E3779B97F4A7C15)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(27)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        np.less(mixed, np.uint64(least), out=out[low : low + HASHED_ROWS])
+    return out
+
+
 def columns_taken(columns: np.ndarray, width: int, share: float, seed: int, number: int) -> np.ndarray:
     """Which columns a round uses: the share of them with the least hashes, at least one."""
     if share >= 1:
@@ -236,7 +273,7 @@ class _Round:
         """Which rows this round learns from."""
         if self.row_share >= 1:
             return ~watches
-        return ~watches & (_mixed(self.seed, -1 - self.number, row) < self.row_share)
+        return ~watches & rows_taken(row, self.row_share, self.seed, self.number)
 
 
 def _watches(batch: pa.RecordBatch) -> np.ndarray:
@@ -248,9 +285,9 @@ def _gradients(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return weight * (p - y), weight * p * (1 - p)
 
 
-def _log_loss(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum of the log losses, and their number."""
-    return np.array([np.logaddexp(0, np.where(y == 1, -raw, raw)).sum(), len(raw)])
+def _log_loss(raw: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the log losses of so many rows each, and their number."""
+    return np.array([(rows * np.logaddexp(0, np.where(y == 1, -raw, raw))).sum(), rows.sum()])
 
 
 def _loss(of: _Round, batch: pa.RecordBatch) -> np.ndarray:
@@ -258,7 +295,8 @@ def _loss(of: _Round, batch: pa.RecordBatch) -> np.ndarray:
     watches = _watches(batch)
     if not watches.any():
         return np.zeros(2)
-    return _log_loss(of.scores(batch)[1][watches], np.asarray(batch.column("y"))[watches])
+    raw = of.scores(batch)[1][watches]
+    return _log_loss(raw, np.asarray(batch.column("y"))[watches], np.ones(len(raw)))
 
 
 def _begin(sent):
@@ -482,34 +520,55 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """Rows with their raw scores, and with their nodes in the tree that grows."""
+    """Cells with their raw scores, and with their nodes in the tree that grows.
+
+    `row` holds the rows of all cells side by side, `first` where those of each begin.
+    """
 
     def __init__(self, *columns: np.ndarray):
-        self.bins, self.row, self.y, self.weight, self.raw, self.watches = columns
-        self.at, self.node = np.arange(len(self.row)), np.ones(len(self.row), np.int64)
+        self.bins, self.first, self.row, self.y, self.weight, self.raw, self.watches = columns
+        self.at, self.node = np.arange(len(self.first)), np.ones(len(self.first), np.int64)
 
     def __reduce__(self):
-        return _Chunk, (self.bins, self.row, self.y, self.weight, self.raw, self.watches)
+        return _Chunk, (self.bins, self.first, self.row, self.y, self.weight, self.raw, self.watches)
 
     def begin(self, of: _Round) -> np.ndarray:
         """Sums of the gradients, the hessians and the losses, and the number of rows that watch."""
-        taken = of.taken(self.row, self.watches)
-        self.g, self.h = (np.where(taken, x, 0.0) for x in _gradients(self.raw, self.y, self.weight))
-        loss = _log_loss(self.raw[self.watches], self.y[self.watches])
-        return np.array([self.g[taken].sum(), self.h[taken].sum(), *loss])
+        rows = np.diff(np.append(self.first, len(self.row)))
+        taken = rows
+        if of.row_share < 1:
+            each = rows_taken(self.row, of.row_share, of.seed, of.number)
+            # A sum over each cell costs more, and is of no use where all cells are single rows.
+            before = np.append(0, np.cumsum(each, dtype=np.int32)) if len(rows) < len(each) else None
+            taken = each if before is None else np.diff(before[np.append(self.first, len(each))])
+        taken = np.where(self.watches, 0, taken)
+        self.g, self.h = (taken * x for x in _gradients(self.raw, self.y, self.weight))
+        loss = _log_loss(self.raw[self.watches], self.y[self.watches], rows[self.watches])
+        return np.array([self.g.sum(), self.h.sum(), *loss])
 
     def follow(self, tree: Tree, numbers: int, below: np.ndarray | None) -> None:
-        """Rows in nodes that are split go one level down."""
+        """Cells in nodes that are split go one level down."""
         if below is None:
             tree.step(self.bins.T, numbers, self.node, np.nonzero(tree.feature[self.node] >= 0)[0])
         else:
-            line = np.maximum(tree.feature, 0).astype(np.int64) * len(self.row)
+            line = np.maximum(tree.feature, 0).astype(np.int64) * len(self.at)
             held = self.bins.ravel()[line[self.node] + self.at]
             self.node = below.ravel()[self.node * below.shape[1] + 1 + held]
 
     def end(self, tree: Tree) -> None:
         self.raw = self.raw + tree.value[self.node]
-        self.node = np.ones(len(self.row), np.int64)
+        self.node = np.ones(len(self.at), np.int64)
+
+
+class _Drawn(_Chunk):
+    """What the levels of a round need of a chunk: its cells with their gradients, and its sums, without the rows."""
+
+    def __init__(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, begun: np.ndarray):
+        self.bins, self.g, self.h, self.begun = bins, g, h, begun
+        self.at, self.node = np.arange(len(g)), np.ones(len(g), np.int64)
+
+    def __reduce__(self):
+        return _Drawn, (self.bins, self.g, self.h, self.begun)
 
 
 def _width(layout: Layout) -> int:
@@ -517,17 +576,33 @@ def _width(layout: Layout) -> int:
     return max([*(len(c) + 1 for c in layout.cuts), *layout.sizes], default=0) + 1
 
 
+def _cells_of(batch: pa.RecordBatch, features: int, kind: type) -> list[np.ndarray]:
+    """What a chunk has, for one batch: rows side by side that agree are a cell."""
+    bins, watches = _matrix(batch, features).astype(kind), _watches(batch)
+    row, *values = (np.asarray(batch.column(c)) for c in ("row", "y", "weight", "raw"))
+    new = np.ones(len(row), bool)
+    new[1:] = (bins[1:] != bins[:-1]).any(axis=1)
+    for x in (*values, watches):
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new).astype(np.int32)
+    return [bins[first], first, row, *(x[first] for x in (*values, watches))]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[_Chunk]:
     kind, parts = np.int16 if _width(layout) < 1 << 15 else np.int32, []
-    names, features = ("row", "y", "weight", "raw"), len(layout.cuts) + len(layout.sizes)
+    features = len(layout.cuts) + len(layout.sizes)
 
     def chunk() -> _Chunk:
-        bins, row, y, weight, raw, watches = (np.concatenate(x) for x in zip(*parts))
-        return _Chunk(np.ascontiguousarray(bins.T), row, _small(y), _small(weight), raw, watches)
+        before = 0
+        for x in parts:
+            x[1] = x[1] + np.int32(before)
+            before += len(x[2])
+        bins, first, row, y, weight, raw, watches = (np.concatenate(x) for x in zip(*parts))
+        return _Chunk(np.ascontiguousarray(bins.T), first, row, _small(y), _small(weight), raw, watches)
 
     for b in batches:
-        parts.append([_matrix(b, features).astype(kind), *[np.asarray(b.column(c)) for c in names], _watches(b)])
-        if sum(len(x[1]) for x in parts) >= CHUNK_ROWS:
+        parts.append(_cells_of(b, features, kind))
+        if sum(len(x[1]) for x in parts) >= CHUNK_ROWS or sum(len(x[2]) for x in parts) >= CHUNK_ROWS * CELL_ROWS:
             yield chunk()
             parts = []
     if parts:
@@ -621,19 +696,30 @@ def _packed(layout: Layout):
     return run
 
 
-def _sums(held: RDD, of: _Round, levels: int) -> tuple[np.ndarray, _Histogram]:
+def _drawn(held: RDD, of: _Round) -> RDD:
+    """The chunks as the levels of a round need them."""
+
+    def run(chunks: Iterator[_Chunk]) -> Iterator[_Drawn]:
+        for chunk in chunks:
+            begun = chunk.begin(of)
+            yield _Drawn(chunk.bins, chunk.g, chunk.h, begun)
+
+    return held.mapPartitions(run, preservesPartitioning=True)
+
+
+def _sums(drawn: RDD, of: _Round, levels: int) -> tuple[np.ndarray, _Histogram]:
     """Sums of a round as `_Chunk.begin` has them, and the histogram of the level that `of` is at."""
 
-    def run(chunks: Iterator[_Chunk]) -> Iterator[tuple]:
+    def run(chunks: Iterator[_Drawn]) -> Iterator[tuple]:
         begun, histogram, below = np.zeros(4), _Histogram(of), _below(of.tree, of.layout)
         for chunk in chunks:
-            begun += chunk.begin(of)
+            begun += chunk.begun
             _followed(chunk, of.tree, of.layout, levels, below)
             histogram.add(chunk.bins, chunk.g, chunk.h, chunk.node)
         yield begun, histogram.total, histogram.codes, histogram.sparse
 
     begun, histogram = np.zeros(4), _Histogram(of)
-    for more, *sums in held.mapPartitions(run).collect():
+    for more, *sums in drawn.mapPartitions(run).collect():
         begun += more
         histogram.merge(*sums)
     return begun, histogram
@@ -652,31 +738,35 @@ def _advance(held: RDD, tree: Tree, layout: Layout) -> RDD:
 
 
 def _fit_held(state: DataFrame, layout: Layout, progress: _Progress, partitions: int) -> None:
-    """All rounds by jobs over a persisted RDD of chunks."""
+    """All rounds by jobs over a persisted RDD of chunks; a round costs a pass over the cells, and a hash per row."""
     spark, params, trees = state.sparkSession, progress.params, progress.trees
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_path(spark, "boosting-checkpoint"))
-    # In their order, so that a partition that is built again adds up the same.
-    rows = state.repartition(partitions, "row").sortWithinPartitions("row")
+    # Rows of a cell side by side, and all in their order, so that a partition that is built again adds up the same.
+    order = [F.xxhash64("bins", "y", "watches"), F.col("row")]
+    rows = state.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     held = rows.mapInArrow(_packed(layout), "chunk binary").rdd.map(lambda r: pickle.loads(bytes(r["chunk"])))
     held, before, behind = held.persist(StorageLevel.MEMORY_AND_DISK), None, None
     while True:
         of = _Round(layout, len(trees), params.seed, params.row_share, params.column_share, [])
         of.tree, of.nodes = Tree(params.depth), np.ones(1, np.int64)
-        begun, root = _sums(held, of, 0)
+        drawn = _drawn(held, of).persist(StorageLevel.MEMORY_AND_DISK)
+        begun, root = _sums(drawn, of, 0)
         if before is not None:
             before.unpersist()
         g, h, loss, watched = begun.tolist()
         if progress.ended(loss, watched):
+            drawn.unpersist()
             break
 
         def best() -> Found:
             level, found = int(of.nodes[0]).bit_length() - 1, {}
-            _best_of(of, (_sums(held, of, level)[1] if level else root).cells(), found)
+            _best_of(of, (_sums(drawn, of, level)[1] if level else root).cells(), found)
             return found
 
         tree = _grow(of, g, h, params.depth, params.rate, best)
         trees.append(tree)
+        drawn.unpersist()
         before, held = held, _advance(held, tree, layout).persist(StorageLevel.MEMORY_AND_DISK)
         if len(trees) % WRITTEN_EVERY == 0:
             held.checkpoint()
