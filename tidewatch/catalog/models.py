@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import Registry, tidy, views
 from tidewatch.operators import metrics, prepare, split
 from tidewatch.plans import assembly, promotion, training
-from tidewatch.session import stage
 
 QUERIES = Registry()
 
@@ -30,14 +29,9 @@ def order_rows(spark, sf):
     )
 
 
-def split_rows(spark, sf):
-    """The orders with their part; written, as the passes of preparing, training and scoring would each join them anew."""
-    return stage(split.stratified_split(stage(order_rows(spark, sf), "orders"), TARGET, KEY), "split-orders")
-
-
 def fitted(spark, sf, numbers=NUMBERS, categories=CATEGORIES, params=PARAMS, rows=None):
     """Split (unless given tagged rows), prepare and train; returns the tagged rows and the model."""
-    rows = split_rows(spark, sf) if rows is None else rows
+    rows = split.stratified_split(order_rows(spark, sf), TARGET, KEY) if rows is None else rows
     train = training.hold_out(rows.where("split = 'train'"), KEY)
     preparation = prepare.fit_sparse(train.where("not is_validation"), numbers, categories)
     return rows, preparation, training.train(train, preparation, TARGET, params, validation="is_validation")

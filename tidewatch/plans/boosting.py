@@ -12,7 +12,7 @@ arrays in the partitions of a persisted RDD, cut along the cells but not by them
 over partitions. A round draws its gradients from it, and a level is one job over these: each partition gives its sums, which are added up in the order of the partitions, so that the driver gets one histogram of
 a level per partition. Behind each tree the scores are brought up to date in a new RDD, and every ten rounds this is
 checkpointed, so that a lost executor costs the rounds since then. A table of at most TASK_ROWS rows needs
-no job per level: the task that reads it goes through the rounds by itself, with the same histograms.
+no job per level: the task that reads it goes through the rounds by itself, row by row, with the same histograms.
 
 Where the sums are too many for the driver (categories of any size cost one cell per row), they go by key to tasks that
 return the best split of each node they saw. There the rows are written with their score, and every ten rounds anew, so
@@ -544,7 +544,7 @@ class _Chunk:
         taken = np.where(self.watches, 0, taken)
         self.g, self.h = (taken * x for x in _gradients(self.raw, self.y, self.weight))
         loss = _log_loss(self.raw[self.watches], self.y[self.watches], rows[self.watches])
-        return np.array([self.g.sum(), self.h.sum(), *loss])
+        return np.array([self.g[taken > 0].sum(), self.h[taken > 0].sum(), *loss])
 
     def follow(self, tree: Tree, numbers: int, below: np.ndarray | None) -> None:
         """Cells in nodes that are split go one level down."""
@@ -576,19 +576,20 @@ def _width(layout: Layout) -> int:
     return max([*(len(c) + 1 for c in layout.cuts), *layout.sizes], default=0) + 1
 
 
-def _cells_of(batch: pa.RecordBatch, features: int, kind: type) -> list[np.ndarray]:
-    """What a chunk has, for one batch: rows side by side that agree are a cell."""
+def _cells_of(batch: pa.RecordBatch, features: int, kind: type, ordered: bool) -> list[np.ndarray]:
+    """What a chunk has, for one batch: rows side by side that agree are a cell if they are in order, else each row is."""
     bins, watches = _matrix(batch, features).astype(kind), _watches(batch)
     row, *values = (np.asarray(batch.column(c)) for c in ("row", "y", "weight", "raw"))
     new = np.ones(len(row), bool)
-    new[1:] = (bins[1:] != bins[:-1]).any(axis=1)
-    for x in (*values, watches):
-        new[1:] |= x[1:] != x[:-1]
+    if ordered:
+        new[1:] = (bins[1:] != bins[:-1]).any(axis=1)
+        for x in (*values, watches):
+            new[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(new).astype(np.int32)
     return [bins[first], first, row, *(x[first] for x in (*values, watches))]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], layout: Layout, ordered: bool = False) -> Iterator[_Chunk]:
     kind, parts = np.int16 if _width(layout) < 1 << 15 else np.int32, []
     features = len(layout.cuts) + len(layout.sizes)
 
@@ -601,7 +602,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[_Chun
         return _Chunk(np.ascontiguousarray(bins.T), first, row, _small(y), _small(weight), raw, watches)
 
     for b in batches:
-        parts.append(_cells_of(b, features, kind))
+        parts.append(_cells_of(b, features, kind, ordered))
         if sum(len(x[1]) for x in parts) >= CHUNK_ROWS or sum(len(x[2]) for x in parts) >= CHUNK_ROWS * CELL_ROWS:
             yield chunk()
             parts = []
@@ -690,7 +691,7 @@ def _partitions(spark: SparkSession, rows: int, layout: Layout, depth: int) -> i
 
 def _packed(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, layout):
+        for chunk in _chunks(batches, layout, ordered=True):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chunk)], pa.binary())], names=["chunk"])
 
     return run
